@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, mixing, sharding, simhash, token_counts
+from . import bpe, host_rules, mixing, quality, sharding, simhash, token_counts, url_filter
 from .common import table
 
 
@@ -32,6 +32,12 @@ def op2_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.classify(docs.select("doc_id", "text", "source", "lang", "n_chars"), labels)
+    return scored.select("doc_id", "quality_scores.*")
+
+
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_ok"
@@ -45,6 +51,21 @@ def op7_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Fixed rules of the query.
+URL_RULES = (
+    ("block", "com/en/"),
+    ("allow", "example.com/en/7"),
+    ("allow", "net/de/"),
+    ("block", "example.net/de/8"),
+    ("block", "org/es/"),
+)
+
+
+def op8_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, [url_filter.parse_rule(*r) for r in URL_RULES]).select("page_id", "host", "path", "rule", "verdict", "probability")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,7 +80,10 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_kk_sharding, op5_host_rules, op7_simhash_mih, op9_token_counts, op10_entropy_mix)}
+    return {f.__name__: f for f in (
+        op1_byte_bpe, op2_kk_sharding, op3_quality_cotraining, op5_host_rules,
+        op7_simhash_mih, op8_url_trees, op9_token_counts, op10_entropy_mix,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
