@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, mixing, quality, sharding, simhash, token_counts, url_filter
+from . import bpe, host_rules, line_dedup, mixing, quality, sharding, simhash, token_counts, url_filter
 from .common import table
 
 
@@ -44,6 +44,11 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.without_matches(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return simhash.near_duplicates(docs, shingle=3, radius=3).select(
@@ -82,7 +87,7 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_byte_bpe, op2_kk_sharding, op3_quality_cotraining, op5_host_rules,
-        op7_simhash_mih, op8_url_trees, op9_token_counts, op10_entropy_mix,
+        op6_line_join, op7_simhash_mih, op8_url_trees, op9_token_counts, op10_entropy_mix,
     )}
 
 
