@@ -58,7 +58,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes stored() tables that nothing reads any more, and lets the driver drop shuffles that nothing refers to."""
+    for t in tables:
+        delete(t.sparkSession, t._stored_at)
+        _made.remove((t.sparkSession, t._stored_at))
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,15 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, words
+from .common import WORD, release, stored, words
 
 THRESHOLD = 0.8
 #: Lines with fewer different words are not compared.
 MIN_WORDS = 5
 #: Hash buckets in which words are counted, for their order by rarity.
 COUNT_BUCKETS = 1 << 20
-#: A prefix word in more lines than this is first looked up against its earliest line alone.
-HOT_LINES = 16
 
 
 def rarity(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -52,94 +50,115 @@ def _lines(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, classes: Column, threshold: float, id: str, text: str) -> DataFrame:
-    """(id, pos, n, h, b1, b2, prefix) of every line that is compared.
+    """(id, pos, n, h, bits, prefix, sketches) of every line that is compared.
 
-    h and two bitmaps of parities stand for the set.  A bit of a bitmap is
-    whether an odd number of words falls on it, so two sets differ in at least
-    as many words as their bitmaps in bits.
+    h is a hash of the set, and bits a bitmap of parities: a bit is whether an
+    odd number of words falls on it, so two sets differ in at least as many
+    words as their bitmaps in bits.  A sketch has three least or greatest of
+    some hash over the rarer half of the words, so similar lines often share one.
     """
-    key = F.expr("transform(w, x -> xxhash64(x))")
-    hashed = _lines(docs, id, text).select("id", "pos", words(F.col("line")).alias("w")).select("id", "pos", key.alias("hs"))
-    ranked = hashed.withColumn("c", classes).select(
+    hashed = _lines(docs, id, text).select("id", "pos", words(F.col("line")).alias("w")).select("id", "pos", F.expr("transform(w, x -> xxhash64(x))").alias("hs"))
+    ordered = hashed.withColumn("c", classes).select(
         "id", "pos",
         F.expr(f"sort_array(array_distinct(transform(hs, x -> shiftleft(cast(get(c, cast(x & {COUNT_BUCKETS - 1}L as int)) as bigint), 56) | shiftrightunsigned(x, 8))))").alias("k"),
-    )
-    return ranked.filter(F.size("k") >= MIN_WORDS).select(
+    ).filter(F.size("k") >= MIN_WORDS)
+    halves = ordered.withColumn("rare", F.expr(f"transform(slice(k, 1, greatest({MIN_WORDS}, (size(k) + 1) div 2)), x -> shiftleft(x, 8))"))
+    mixed = halves.withColumns({f"m{s}": F.expr(f"transform(rare, x -> shiftleft(x, {s}))") for s in (8, 16, 24, 32)})
+    low = {0: F.array_min("rare"), **{s: F.array_min(f"m{s}") for s in (8, 16, 24, 32)}}
+    high = {0: F.array_max("rare"), **{s: F.array_max(f"m{s}") for s in (8, 16, 24, 32)}}
+    sketches = ((low[0], high[8], low[16]), (high[0], low[24], high[32]), (low[8], high[16], low[32]), (high[24], low[0], high[8]))
+    return mixed.select(
         "id", "pos", F.size("k").alias("n"), F.xxhash64("k").alias("h"),
-        F.expr("aggregate(k, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63L as int)))").alias("b1"),
-        F.expr("aggregate(k, 0L, (a, x) -> a ^ shiftleft(1L, cast(shiftright(x, 6) & 63L as int)))").alias("b2"),
+        F.expr("aggregate(k, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63L as int)))").alias("bits"),
         F.slice("k", F.lit(1), prefix_length(F.size("k"), threshold).cast("int")).alias("prefix"),
-    )
+        F.array(*[F.xxhash64(F.lit(k), *s) for k, s in enumerate(sketches)]).alias("sketches"),
+    ).select("id", "pos", "n", "h", "bits", _short("prefix").alias("prefix"), "sketches")
+
+
+def _short(prefix: str) -> Column:
+    """(place, 32 bits of the word's key) of the prefix words that stand more than once in the corpus.
+
+    With 32 bits more pairs may meet than share a word; none are missed.
+    """
+    kept = f"filter(transform({prefix}, (x, i) -> struct(i, x)), s -> shiftright(s.x, 56) > 4)"
+    return F.expr(f"transform({kept}, s -> struct(cast(s.i as int) as i, cast((s.x & 4294967295L) - 2147483648L as int) as t))")
 
 
-def _may_match(a: str, b: str, threshold: float) -> Column:
-    """Length, positional and bitmap filters for rows with structs or prefixes a and b."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    n, m = c(a, "n"), c(b, "n")
+def _room(n: Column, m: Column, threshold: float, *rooms: Column, bits: Column) -> Column:
+    """Length, positional and bitmap filters of sets of n and m words."""
     share = needed(n, m, threshold)
-    bits = lambda x: F.bit_count(c(a, x).bitwiseXOR(c(b, x)))
-    return (
-        (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9)
-        & (F.least(n - c(a, "i"), m - c(b, "i")) >= share)
-        & (bits("b1") <= n + m - 2 * share)
-        & (bits("b2") <= n + m - 2 * share)
-    )
+    out = (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (F.bit_count(bits) <= n + m - 2 * share)
+    return out & (F.least(*rooms) >= share) if rooms else out
 
 
 def matched_lines(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, pos) of every line of which a similar one stands before it; pos counts from 0.
 
-    Lines of equal words are one class, whose first stands for it.  A prefix
-    word that many classes have is first looked up against the earliest alone,
-    which settles the members of large groups in proportion to their number;
-    only what is left is compared with all lines before it.
+    Lines of equal words are one class, whose first stands for it.  Lines that
+    share a sketch are compared with the earliest of them first, which settles
+    most members of a large group in proportion to their number.  Then all
+    pairs are sought that share a prefix word, unless both are settled.
     """
-    counted = rarity(docs, text)
-    lines = stored(line_sets(docs, counted.scalar(), threshold, id, text), "line-sets")
-    same = ["h", "b1", "b2", "n"]
+    lines = stored(line_sets(docs, rarity(docs, text).scalar(), threshold, id, text), "line-sets")
     classes = stored(
-        lines.groupBy(*same).agg(F.min(F.struct("id", "pos", "prefix")).alias("first")).select(*same, "first.id", "first.pos", "first.prefix"), "line-classes"
+        lines.groupBy("h", "bits").agg(F.min(F.struct("id", "pos", "n", "prefix", "sketches")).alias("first")).select("h", "bits", "first.*"), "line-classes"
     )
-    whole = F.struct("id", "pos", "n", "h", "b1", "b2", "i")
-
-    def postings(of: DataFrame) -> DataFrame:
-        shared = F.shiftright("token", 56) > 4  # else it stands once in the corpus
-        return of.select("id", "pos", *same, F.posexplode("prefix").alias("i", "token")).filter(shared)
-
-    earlier = F.struct(F.col("y.id"), F.col("y.pos")) < F.struct(F.col("x.id"), F.col("x.pos"))
-    pair = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("h", "b1", "id", "pos")]
+    bare = lines.select("id", "pos", "h", "bits")
+    place = F.struct("id", "pos")
 
-    posted = postings(classes)
-    leaders = posted.groupBy("token").agg(F.min(whole).alias("y"), F.count("*").alias("size")).filter(F.col("size") > HOT_LINES).select("token", "y")
-    first = posted.select("token", whole.alias("x")).join(leaders, "token").filter(earlier & _may_match("x", "y", threshold)).select(*pair).distinct()
+    member = classes.select(F.explode("sketches").alias("sketch"), F.struct("id", "pos", "n", "h", "bits").alias("x"))
+    leaders = member.groupBy("sketch").agg(F.min("x").alias("y"), F.count("*").alias("size")).filter("size > 1").select("sketch", "y")
+    ok = _room(F.col("x.n"), F.col("y.n"), threshold, bits=F.col("x.bits").bitwiseXOR(F.col("y.bits")))
+    first = member.join(leaders, "sketch").filter(ok & (F.col("x") != F.col("y"))).select("x", "y").distinct()
     settled = stored(_verified(docs, first, threshold, id, text), "line-settled")
 
-    open_ = classes.join(settled.select("h", "b1").distinct(), ["h", "b1"], "left_anti")
-    x = postings(open_).select("token", whole.alias("x"))
-    y = posted.select("token", whole.alias("y"))
-    rest = x.join(y, "token").filter(earlier & _may_match("x", "y", threshold)).select(*pair).distinct()
+    flagged = classes.join(settled.withColumn("settled", F.lit(True)), ["h", "bits"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    # a smaller or equal set of a pair shares a word within an even shorter prefix
+    short = F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1
+    posted = flagged.select("h", "bits", "n", "settled", F.explode("prefix").alias("p")).select(
+        "h", "bits", F.col("p.t").alias("t"), F.col("p.i").alias("i"), "n", "settled"
+    )
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft("i", 1).cast("long")).bitwiseOR(F.col("settled").cast("long"))
+    row = lambda s: ["t", F.col("h").alias(f"{s}_h"), F.col("bits").alias(f"{s}_bits"), packed.alias(f"{s}_p")]
+    large, small = posted.select(*row("x")), posted.filter(F.col("i") < short).select(*row("y"))
+    n = lambda s: F.shiftright(f"{s}_p", 32)
+    left = lambda s: n(s) - F.shiftright(F.col(f"{s}_p").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
+    open_ = F.col("x_p").bitwiseAND(F.col("y_p")).bitwiseAND(F.lit(1)) == 0
+    once = (n("y") < n("x")) | ((n("y") == n("x")) & ((F.col("y_h") < F.col("x_h")) | ((F.col("y_h") == F.col("x_h")) & (F.col("y_bits") < F.col("x_bits")))))
+    ok = _room(n("x"), n("y"), threshold, left("x"), left("y"), bits=F.col("x_bits").bitwiseXOR(F.col("y_bits")))
+    pairs = stored(large.join(small, "t").filter(open_ & once & ok).select("x_h", "x_bits", "y_h", "y_bits").distinct(), "line-pairs")
+    at = lambda s: classes.select(F.col("h").alias(f"{s}_h"), F.col("bits").alias(f"{s}_bits"), F.struct("id", "pos", "n", "h", "bits").alias(s))
+    both = pairs.join(at("x"), ["x_h", "x_bits"]).join(at("y"), ["y_h", "y_bits"])
+    rest = both.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
     found = stored(settled.unionByName(_verified(docs, rest, threshold, id, text)).distinct(), "line-found")
+    release(pairs, settled)
 
     # every line of a class goes that is not its first, or whose first goes
-    firsts = classes.select("h", "b1", F.col("id").alias("first_id"), F.col("pos").alias("first_pos"))
-    fate = firsts.join(found.withColumn("gone", F.lit(True)), ["h", "b1"], "left")
-    return lines.select("id", "pos", "h", "b1").join(fate, ["h", "b1"]).filter(
-        F.col("gone").isNotNull() | ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos")))
-    ).select("id", "pos").distinct()
+    fate = classes.select("h", "bits", place.alias("first")).join(found.withColumn("gone", F.lit(True)), ["h", "bits"], "left")
+    out = stored(
+        bare.join(fate, ["h", "bits"]).filter(F.col("gone").isNotNull() | (place != F.col("first"))).select("id", "pos").distinct(), "line-matched"
+    )
+    release(found, classes, lines)
+    return out
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, threshold: float, id: str, text: str) -> DataFrame:
-    """(h, b1) of the lines x of pairs that are similar to y, by the words themselves."""
-    kept = stored(pairs, "line-candidates")
-    wanted = stored(kept.select(F.explode(F.array(F.struct(F.col("x_id").alias("id"), F.col("x_pos").alias("pos")), F.struct(F.col("y_id").alias("id"), F.col("y_pos").alias("pos")))).alias("l")).select("l.id", "l.pos").distinct(), "line-wanted")
-    texts = docs.join(wanted.select(F.col("id").alias("__id")).distinct(), F.col(id) == F.col("__id"), "left_semi")
-    sets = _lines(texts, id, text).join(wanted, ["id", "pos"]).select("id", "pos", F.array_distinct(words(F.col("line"))).alias("w"))
+    """(h, bits) of the lines x of pairs(x, y) that are similar to y, by the words themselves."""
+    kept = stored(pairs.select(
+        F.col("x.h").alias("h"), F.col("x.bits").alias("bits"),
+        *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("id", "pos")],
+    ), "line-candidates")
+    either = F.array(*[F.struct(F.col(f"{s}_id").alias("id"), F.col(f"{s}_pos").alias("pos")) for s in "xy"])
+    wanted = stored(kept.select(F.explode(either).alias("l")).select("l.id", "l.pos").distinct(), "line-wanted")
+    sets = _lines(docs, id, text).join(wanted, ["id", "pos"]).select("id", "pos", F.array_distinct(words(F.col("line"))).alias("w"))
     sets = stored(sets, "line-words")
     side = lambda s: sets.select(F.col("id").alias(f"{s}_id"), F.col("pos").alias(f"{s}_pos"), F.col("w").alias(f"{s}_w"))
     both = kept.join(side("x"), ["x_id", "x_pos"]).join(side("y"), ["y_id", "y_pos"])
     shared = F.size(F.array_intersect("x_w", "y_w"))
     jaccard = shared / (F.size("x_w") + F.size("y_w") - shared)
-    return both.filter(jaccard >= threshold - 1e-12).select(F.col("x_h").alias("h"), F.col("x_b1").alias("b1")).distinct()
+    out = stored(both.filter(jaccard >= threshold - 1e-12).select("h", "bits").distinct(), "line-similar")
+    release(kept, wanted, sets)
+    return out
 
 
 def without_matches(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id", text: str = "text") -> DataFrame:

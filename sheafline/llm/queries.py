@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, line_dedup, mixing, quality, sharding, simhash, token_counts, url_filter
+from . import bpe, host_rules, line_dedup, mixing, quality, sharding, simhash, spotsigs, token_counts, url_filter
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "quality_scores.*")
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_ok"
@@ -86,7 +90,7 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_byte_bpe, op2_kk_sharding, op3_quality_cotraining, op5_host_rules,
+        op1_byte_bpe, op2_kk_sharding, op3_quality_cotraining, op4_spotsigs, op5_host_rules,
         op6_line_join, op7_simhash_mih, op8_url_trees, op9_token_counts, op10_entropy_mix,
     )}
 
