@@ -58,10 +58,10 @@ def line_sets(docs: DataFrame, classes: Column, threshold: float, id: str, text:
     some hash over the rarer half of the words, so similar lines often share one.
     """
     hashed = _lines(docs, id, text).select("id", "pos", words(F.col("line")).alias("w")).select("id", "pos", F.expr("transform(w, x -> xxhash64(x))").alias("hs"))
-    ordered = hashed.withColumn("c", classes).select(
-        "id", "pos",
-        F.expr(f"sort_array(array_distinct(transform(hs, x -> shiftleft(cast(get(c, cast(x & {COUNT_BUCKETS - 1}L as int)) as bigint), 56) | shiftrightunsigned(x, 8))))").alias("k"),
-    ).filter(F.size("k") >= MIN_WORDS)
+    rare_first = lambda x: F.shiftleft(
+        F.get(classes, x.bitwiseAND(F.lit(COUNT_BUCKETS - 1)).cast("int")).cast("long"), 56
+    ).bitwiseOR(F.shiftrightunsigned(x, 8))
+    ordered = hashed.select("id", "pos", F.sort_array(F.array_distinct(F.transform("hs", rare_first))).alias("k")).filter(F.size("k") >= MIN_WORDS)
     halves = ordered.withColumn("rare", F.expr(f"transform(slice(k, 1, greatest({MIN_WORDS}, (size(k) + 1) div 2)), x -> shiftleft(x, 8))"))
     mixed = halves.withColumns({f"m{s}": F.expr(f"transform(rare, x -> shiftleft(x, {s}))") for s in (8, 16, 24, 32)})
     low = {0: F.array_min("rare"), **{s: F.array_min(f"m{s}") for s in (8, 16, 24, 32)}}
