@@ -1,0 +1 @@
+"""Operators over arrays, dictionaries and DataFrames that carry an explicit order."""

@@ -1,0 +1 @@
+"""Plans that need rounds: loops with limits and recomputation until nothing changes."""

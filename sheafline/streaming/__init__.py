@@ -1,0 +1 @@
+"""Recomputation when files change."""
