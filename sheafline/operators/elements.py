@@ -45,7 +45,7 @@ def from_orders(customer: DataFrame, orders: DataFrame, lineitem: DataFrame) ->
         F.col("o_custkey").alias("doc_id"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").cast("bigint").alias("l"), F.col("l_partkey").alias("p"), F.lit("item").alias("elem"),
         F.lit(3).alias("level"), F.lit(None).cast("string").alias("label"), fields("body", F.col("l_returnflag"), "status", F.col("l_linestatus")).alias("fields"),
     )
-    place = Window.partitionBy("doc_id").orderBy(F.col("o").asc_nulls_first(), F.col("l").asc_nulls_first(), F.col("p").asc_nulls_first(), F.element_at("fields", "body"))
+    place = Window.partitionBy("doc_id").orderBy(F.col("o").asc_nulls_first(), F.col("l").asc_nulls_first(), F.col("p").asc_nulls_first(), F.element_at("fields", "body"), F.try_element_at("fields", F.lit("status")))
     nodes = c.unionByName(o).unionByName(i).withColumn("ord", (F.row_number().over(place) - 1).cast("bigint"))
     return close_levels(nodes, 3).select(*COLUMNS)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import settled
+
 
 def with_ord(df: DataFrame, order: list[str | Column], out: str = "ord", start: int = 0, partitions: int | None = None) -> DataFrame:
     """df with `out`, the place of each row in the order, from start.
@@ -19,8 +21,8 @@ def with_ord(df: DataFrame, order: list[str | Column], out: str = "ord", start:
         raise ValueError("a stream has no total order")
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-    # the number within a partition, in order, and the partition, both without another shuffle
-    marked = ranged.withColumn("__at", F.monotonically_increasing_id())
+    # the place within a partition, in order, and the partition; ranges are drawn anew each time, so this is settled first
+    marked = settled(ranged.withColumn("__at", F.monotonically_increasing_id()), "ranges")
     marked = marked.withColumn("__range", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = marked.groupBy("__range").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

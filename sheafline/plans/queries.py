@@ -469,7 +469,7 @@ _ELEMENTS = """nodes AS (
   SELECT c_custkey AS doc_id, NULL::BIGINT AS o, NULL::BIGINT AS l, NULL::BIGINT AS p, 'heading' AS elem, 1 AS level, 'customer-' || c_custkey AS label, c_name AS body, NULL AS status FROM customer
   UNION ALL SELECT o_custkey, o_orderkey, NULL, NULL, 'heading', 2, 'order-' || o_orderkey, o_orderpriority, o_orderstatus FROM orders
   UNION ALL SELECT o_custkey, l_orderkey, l_linenumber, l_partkey, 'item', 3, NULL, l_returnflag, l_linestatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o NULLS FIRST, l NULLS FIRST, p NULLS FIRST, body) - 1 AS ord FROM nodes),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o NULLS FIRST, l NULLS FIRST, p NULLS FIRST, body, status) - 1 AS ord FROM nodes),
 elements AS (SELECT *, CAST(coalesce(CASE level WHEN 1 THEN min(CASE WHEN level <= 1 THEN ord END) OVER w WHEN 2 THEN min(CASE WHEN level <= 2 THEN ord END) OVER w ELSE min(ord) OVER w END,
   count(*) OVER (PARTITION BY doc_id)) AS BIGINT) AS end_ord FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))"""
 

@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 import warnings
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tables import settled
+
 #: Rounds until introspection has to be stable.
 FIXPOINT_ROUNDS = 5
 LOOP_ROUNDS = 10_000
 
 
-def _folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (named or "/tmp/checkpoints/sheafline").rstrip("/")
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that driver and executors share; its lineage ends there."""
-    path = f"{_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def digest(df: DataFrame) -> tuple[int, int]:
     """Row count and an order-independent hash."""
     cols = [F.to_json(F.struct(F.col(c))) if t.startswith("map") else F.col(c) for c, t in df.dtypes]
