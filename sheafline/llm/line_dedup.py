@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, release, stored, words
+from .common import BLANKS, release, stored, words
 
 THRESHOLD = 0.8
 #: Lines with fewer different words are not compared.
@@ -21,19 +21,20 @@ MIN_WORDS = 5
 COUNT_BUCKETS = 1 << 20
 
 
-def rarity(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row with `classes`, array<tinyint>: for each hash bucket about 4 * log2(1 + its words in all texts).
+def rarity(docs: DataFrame, text: str = "text") -> bytearray:
+    """For each hash bucket of words a byte: about 1 + 4 * log2(1 + its words in all texts).
 
-    The order of words by (class, hash) is one order for all lines whatever the
-    counts, so results don't depend on buckets; class 4 is a word that stands
-    once in the corpus and can't be shared.  The row has COUNT_BUCKETS bytes
-    for any corpus.
+    The order of words by (byte, hash) is one order for all lines whatever the
+    counts, so results don't depend on buckets; 5 is a word that stands once in
+    the corpus and can't be shared.  There are COUNT_BUCKETS bytes for any corpus.
     """
     bucket = F.col("h").bitwiseAND(F.lit(COUNT_BUCKETS - 1))
-    counts = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(WORD), 0)).alias("w")).select(F.xxhash64("w").alias("h")).groupBy(bucket.alias("k")).agg(F.count("*").alias("n"))
+    said = F.explode(F.split(F.coalesce(F.col(text), F.lit("")), BLANKS)).alias("w")
+    counts = docs.select(said).select(F.xxhash64("w").alias("h")).groupBy(bucket.alias("k")).agg(F.count("*").alias("n"))
     dense = docs.sparkSession.range(COUNT_BUCKETS).withColumnRenamed("id", "k").join(counts, "k", "left")
-    each = F.least(F.lit(120), F.floor(4 * F.log2(F.coalesce("n", F.lit(0)) + 1))).cast("tinyint")
-    return stored(dense.agg(F.array_sort(F.collect_list(F.struct("k", each.alias("c")))).getField("c").alias("classes")), "line-rarity")
+    each = F.char(F.least(F.lit(120), F.floor(4 * F.log2(F.coalesce("n", F.lit(0)) + 1)) + 1).cast("int"))
+    row = dense.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", each.alias("c")))), lambda s: s["c"]), "").alias("bytes"))
+    return bytearray(row.first()[0].encode("ascii"))
 
 
 def prefix_length(n: Column, threshold: float) -> Column:
@@ -49,7 +50,7 @@ def _lines(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line"))
 
 
-def line_sets(docs: DataFrame, classes: Column, threshold: float, id: str, text: str) -> DataFrame:
+def line_sets(docs: DataFrame, classes: bytearray, threshold: float, id: str, text: str) -> DataFrame:
     """(id, pos, n, h, bits, prefix, sketches) of every line that is compared.
 
     h is a hash of the set, and bits a bitmap of parities: a bit is whether an
@@ -58,8 +59,9 @@ def line_sets(docs: DataFrame, classes: Column, threshold: float, id: str, text:
     some hash over the rarer half of the words, so similar lines often share one.
     """
     hashed = _lines(docs, id, text).select("id", "pos", words(F.col("line")).alias("w")).select("id", "pos", F.expr("transform(w, x -> xxhash64(x))").alias("hs"))
+    at = lambda x: x.bitwiseAND(F.lit(COUNT_BUCKETS - 1)).cast("int") + 1
     rare_first = lambda x: F.shiftleft(
-        F.get(classes, x.bitwiseAND(F.lit(COUNT_BUCKETS - 1)).cast("int")).cast("long"), 56
+        F.ascii(F.substring(F.lit(classes), at(x), F.lit(1)).cast("string")).cast("long"), 56
     ).bitwiseOR(F.shiftrightunsigned(x, 8))
     ordered = hashed.select("id", "pos", F.sort_array(F.array_distinct(F.transform("hs", rare_first))).alias("k")).filter(F.size("k") >= MIN_WORDS)
     halves = ordered.withColumn("rare", F.expr(f"transform(slice(k, 1, greatest({MIN_WORDS}, (size(k) + 1) div 2)), x -> shiftleft(x, 8))"))
@@ -80,7 +82,7 @@ def _short(prefix: str) -> Column:
 
     With 32 bits more pairs may meet than share a word; none are missed.
     """
-    kept = f"filter(transform({prefix}, (x, i) -> struct(i, x)), s -> shiftright(s.x, 56) > 4)"
+    kept = f"filter(transform({prefix}, (x, i) -> struct(i, x)), s -> shiftright(s.x, 56) > 5)"
     return F.expr(f"transform({kept}, s -> struct(cast(s.i as int) as i, cast((s.x & 4294967295L) - 2147483648L as int) as t))")
 
 
@@ -99,7 +101,7 @@ def matched_lines(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_
     most members of a large group in proportion to their number.  Then all
     pairs are sought that share a prefix word, unless both are settled.
     """
-    lines = stored(line_sets(docs, rarity(docs, text).scalar(), threshold, id, text), "line-sets")
+    lines = stored(line_sets(docs, rarity(docs, text), threshold, id, text), "line-sets")
     classes = stored(
         lines.groupBy("h", "bits").agg(F.min(F.struct("id", "pos", "n", "prefix", "sketches")).alias("first")).select("h", "bits", "first.*"), "line-classes"
     )
