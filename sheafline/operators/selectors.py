@@ -150,7 +150,7 @@ class Within(Selector):
         return self.of.rows(elements).join(outer, inside, "left_semi")
 
 
-def elem(kind: str | None = None, **fields: object) -> Elem:
+def elem(kind: str | None = None, /, **fields: object) -> Elem:
     return Elem(kind, tuple(fields.items()))
 
 
