@@ -45,7 +45,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    coded = bpe.decode(stored(bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text"), "bpe-ids"), ranks)
     return coded.select(
         "doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -21,16 +21,20 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import TwoGenerations, pieces
+from .common import small_batches
 
 #: Entries of the memo of pieces in each Python worker.
-MEMO = 150_000
+MEMO = 100_000
 #: Characters whose pieces are replayed together.
 BLOCK_CHARS = 2_000_000
+#: Rows of an Arrow batch that are taken out of it together.
+SLICE = 512
 
 _codecs: dict[tuple[int, str], "Codec"] = {}
 
@@ -44,108 +48,125 @@ class Codec:
     """Encoder and decoder of one rank file (lines of base64 token and rank) and split pattern."""
 
     def __init__(self, content: bytes, pattern: str) -> None:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
-        self.ranks = ranks
-        self.token = [b""] * (max(ranks.values()) + 1)
-        for t, r in ranks.items():
-            self.token[r] = t
-        self.byte = [ranks.get(bytes([b]), -1) for b in range(256)]
-        if min(self.byte) < 0:
+        ranks = {t: r for r, t in tokens_of(content).items()}
+        self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)])
+        if self.byte.min() < 0:
             raise ValueError("a byte-level vocabulary has a token for each byte")
-        #: (left << 32 | right) -> rank of their concatenation
-        self.pair = {
+        #: (left << 32 | right) -> rank of their concatenation, as sorted arrays
+        pair = {
             ranks[t[:k]] << 32 | ranks[t[k:]]: r
             for t, r in ranks.items() if len(t) > 1
             for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks
         }
+        keys = np.fromiter(pair, np.int64, len(pair))
+        by = np.argsort(keys)
+        self.keys = np.append(keys[by], np.iinfo(np.int64).max)
+        self.of_key = np.append(np.fromiter(pair.values(), np.int64, len(pair))[by], -1)
         self.split = regex.compile(pattern).findall
         self.memo = TwoGenerations(MEMO)
 
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """The tokens of each word."""
-        byte, pair = self.byte, self.pair
-        sym: list[int] = []
-        start = []
-        for w in words:
-            start.append(len(sym))
-            sym += [byte[b] for b in w]
-            sym.append(-1)  # no pair crosses the end of a word
-        n = len(sym)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        rank_at = [-1] * n  # rank of the pair that begins here
-        index: dict[int, list[int]] = {}  # the inverted index: pair (by its rank) -> positions
-        get = pair.get
-        for i in range(n - 1):
-            a, b = sym[i], sym[i + 1]
-            if a >= 0 and b >= 0 and (r := get(a << 32 | b)) is not None:
-                rank_at[i] = r
-                index.setdefault(r, []).append(i)
-        heap = list(index)
-        heapq.heapify(heap)
-        odd: set[int] = set()  # positions in words where a lower rank arose from a higher one
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols; -1 where they don't merge or a word ends."""
+        key = (left << 32) | right
+        at = np.searchsorted(self.keys, key)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.of_key[at], -1)
+
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all words (int32), one word after another, and where each word's end."""
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size + 1)
+        n = int(ends[-1])
+        sym = np.full(n, -1, np.int64)  # a -1 ends each word: no pair crosses it
+        inside = np.ones(n, bool)
+        inside[ends - 1] = False
+        sym[inside] = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank_at = np.full(n, -1, np.int64)  # rank of the pair that begins here
+        rank_at[:-1] = self.rank(sym[:-1], sym[1:])
+        index: dict[int, list[np.ndarray]] = {}  # the inverted index: pair (by its rank) -> positions
+        heap: list[int] = []
+
+        def enter(ranks: np.ndarray, at: np.ndarray) -> None:
+            by = np.argsort(ranks, kind="stable")
+            ranks, at = ranks[by], at[by]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            firsts = [0, *cuts.tolist(), len(ranks)]
+            for r, a, b in zip(ranks[firsts[:-1]].tolist(), firsts, firsts[1:], strict=False):
+                if r in index:
+                    index[r].append(at[a:b])
+                else:
+                    index[r] = [at[a:b]]
+                    heapq.heappush(heap, r)
+
+        there = np.flatnonzero(rank_at >= 0)
+        if len(there):
+            enter(rank_at[there], there)
+        odd: list[np.ndarray] = []  # where a lower rank arose from a higher one
         while heap:
             r = heapq.heappop(heap)
-            at = index.pop(r)
-            at.sort()
-            for i in at:
-                if rank_at[i] != r:
-                    continue  # a merge to the left took this symbol
+            parts = index.pop(r)
+            i = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+            i = i[rank_at[i] == r]
+            if not len(i):
+                continue
+            j = after[i]
+            if len(i) > 1 and (j[:-1] == i[1:]).any():  # a run of one symbol: from the left, every other pair
+                taken, last = [], -1
+                for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                    if a != last:
+                        taken.append(a)
+                        last = b
+                    else:
+                        last = -1
+                i = np.array(taken)
                 j = after[i]
-                k = after[j]
-                sym[i] = r
-                sym[j] = -2
-                rank_at[j] = -1
-                after[i] = k
-                before[k] = i
-                p = before[i]
-                if p >= 0 and sym[p] >= 0:
-                    q = get(sym[p] << 32 | r)
-                    rank_at[p] = -1 if q is None else q
-                    if q is not None:
-                        if q <= r:
-                            odd.add(p)
-                        if q in index:
-                            index[q].append(p)
-                        else:
-                            index[q] = [p]
-                            heapq.heappush(heap, q)
-                if sym[k] >= 0:
-                    q = get(r << 32 | sym[k])
-                    rank_at[i] = -1 if q is None else q
-                    if q is not None:
-                        if q <= r:
-                            odd.add(i)
-                        if q in index:
-                            index[q].append(i)
-                        else:
-                            index[q] = [i]
-                            heapq.heappush(heap, q)
-                else:
-                    rank_at[i] = -1
-        start.append(n)
-        out = [[s for s in sym[start[k] : start[k + 1] - 1] if s >= 0] for k in range(len(words))]
+            k = after[j]
+            sym[i], sym[j], rank_at[j] = r, -2, -1
+            after[i], before[k] = k, i
+            p = before[i]  # -1 is the last place, where a word ends
+            q_right, q_left = self.rank(sym[i], sym[k]), self.rank(sym[p], sym[i])
+            rank_at[i] = q_right
+            inner = sym[p] >= 0
+            rank_at[p[inner]] = q_left[inner]
+            q, at = np.concatenate((q_right, q_left)), np.concatenate((i, p))
+            new = q >= 0
+            if new.any():
+                q, at = q[new], at[new]
+                if q.min() <= r:
+                    odd.append(at[q <= r])
+                enter(q, at)
+        kept = sym >= 0
+        last = np.cumsum(kept)[ends - 1]
+        ids = sym[kept].astype(np.int32)
         if odd:  # a vocabulary whose ranks aren't an order of training: such words one by one, leftmost lowest rank first
-            ends = np.asarray(start)
-            for k in {int(np.searchsorted(ends, i, "right")) - 1 for i in odd}:
-                out[k] = self.plain(words[k])
-        return out
+            lists = [x.tolist() for x in np.split(ids, last[:-1])]
+            for k in np.unique(np.searchsorted(ends, np.concatenate(odd), "right")).tolist():
+                lists[k] = self.plain(words[k])
+            last = np.cumsum([len(x) for x in lists])
+            ids = np.array([t for x in lists for t in x], np.int32)
+        return ids, last
 
     def plain(self, word: bytes) -> list[int]:
         """One word by the definition: merge the leftmost pair of the lowest rank until none is left."""
-        s = [self.byte[b] for b in word]
-        while True:
-            found = [(r, i) for i in range(len(s) - 1) if (r := self.pair.get(s[i] << 32 | s[i + 1])) is not None]
+        s = self.byte[np.frombuffer(word, np.uint8)].tolist()
+        while len(s) > 1:
+            ranks = self.rank(np.array(s[:-1]), np.array(s[1:])).tolist()
+            found = [(r, i) for i, r in enumerate(ranks) if r >= 0]
             if not found:
-                return s
+                break
             r, i = min(found)
             s[i : i + 2] = [r]
+        return s
 
     def pieces_encoded(self, new: list[str]) -> list[bytes]:
         """int32 bytes of the tokens of each piece."""
-        parts = [[w.encode("utf-8") for w in self.split(p)] for p in new]
+        parts = list(map(self.split, new))
         words = list(dict.fromkeys(w for x in parts for w in x))
-        of = dict(zip(words, (np.asarray(s, np.int32).tobytes() for s in self.replay(words)), strict=True))
+        ids, last = self.replay([w.encode("utf-8") for w in words])
+        data, at = ids.tobytes(), (4 * last).tolist()
+        of = {w: data[a:b] for w, a, b in zip(words, [0, *at], at, strict=False)}
         return [of[x[0]] if len(x) == 1 else b"".join([of[w] for w in x]) for x in parts]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -165,8 +186,39 @@ class Codec:
                 block, n = [], 0
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+
+def tokens_of(content: bytes) -> dict[int, bytes]:
+    """The bytes of each token of a rank file."""
+    return {int(b): base64.b64decode(a) for a, b in (line.split() for line in content.splitlines() if line)}
+
+
+class Bytes:
+    """The bytes of all tokens as one array, and where each token's are."""
+
+    def __init__(self, content: bytes) -> None:
+        tokens = tokens_of(content)
+        row = [tokens.get(k, b"") for k in range(max(tokens) + 1)]
+        self.size = np.fromiter(map(len, row), np.int64, len(row))
+        self.start = np.cumsum(self.size) - self.size
+        self.all = np.frombuffer(b"".join(row), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of tokens one after another, and where each token's end."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.all[np.repeat(self.start[ids] - (ends - size), size) + np.arange(total)], ends
+
+
+_tables: dict[int, Bytes] = {}
+
+
+def _token_table(content: Any) -> Bytes:
+    key = hash(content.value)
+    if key not in _tables:
+        _tables.clear()
+        _tables[key] = Bytes(content.value)
+    return _tables[key]
 
 
 def codec(content: Any, pattern: str) -> Codec:
@@ -189,13 +241,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     through unchanged; a column named `out` is replaced.  Equal texts have
     equal tokens; row order and repeated rows don't matter.
     """
+    small_batches(docs.sparkSession)
     content = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # a vocabulary: of a size that doesn't depend on the data
 
     @F.arrow_udf("array<int>")
     def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coded = codec(content, pattern)
         for x in texts:
-            yield _lists(coded.encode(x.to_pylist()))
+            yield pa.concat_arrays([_lists(coded.encode(x.slice(k, SLICE).to_pylist())) for k in range(0, len(x), SLICE)] or [_lists([])])
 
     return docs.withColumn(out, ids(F.col(text)))
 
@@ -204,10 +257,17 @@ def decode(frame: DataFrame, ranks_path: str, ids: str = "ids", out: str = "deco
     """frame with `out`, the bytes (binary) that its tokens stand for; null or no tokens give no bytes."""
     content = frame.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
+    def joined(table: Bytes, x: pa.Array) -> pa.Array:
+        data, ends = table.decode(np.asarray(x.flatten()))
+        size = np.asarray(pc.fill_null(pc.list_value_length(x), 0), np.int64)
+        lists = np.concatenate(([0], np.cumsum(size)))
+        at = np.concatenate(([0], ends))[lists].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())])
+
     @F.arrow_udf("binary")
     def decoded(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token = codec(content, r"\X").token
+        table = _token_table(content)
         for x in lists:
-            yield pa.array([b"".join(map(token.__getitem__, s)) if s else b"" for s in x.to_pylist()], pa.binary())
+            yield pa.concat_arrays([joined(table, x.slice(k, SLICE)) for k in range(0, len(x), SLICE)] or [pa.array([], pa.binary())])
 
     return frame.withColumn(out, decoded(F.col(ids)))

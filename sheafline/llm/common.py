@@ -71,6 +71,18 @@ def release(*tables: DataFrame) -> None:
     tables[0].sparkSession._jvm.System.gc()
 
 
+#: Bytes of a batch that goes to a Python worker: bounds the memory of texts however long they are.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most from now on in this session, whatever rows they hold."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -162,7 +162,7 @@ def _few(df: DataFrame) -> bool:
 
 
 def mixed(docs: DataFrame, plan: DataFrame, id: str = "doc_id") -> DataFrame:
-    """docs, each row as often as the plan has copies; by id, of which the plan's first counts if it repeats."""
+    """docs, each row as often as the plan has copies; where an id repeats in the plan its largest number counts for all."""
     copies = plan.groupBy(F.col(id).alias("__id")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
     return (
         docs.join(copies, F.col(id).eqNullSafe(F.col("__id")))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Bounds of what is fitted on: labelled documents and the unlabelled pool, both the first by a hash of the id.
 MOST_LABELLED = 20_000
 MOST_POOL = 20_000
@@ -221,6 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", columns: dic
     and MOST_POOL at most; their features (20 numbers each) go to the driver.
     Null labels and ids are no labels; of labels that disagree the lower counts.
     """
+    small_batches(docs.sparkSession)
     id = columns["id"]
     known = labels.select(F.col(id).alias("__id"), F.col(label).cast("int").alias("__label")).filter("__id is not null and __label in (0, 1)")
     known = known.groupBy("__id").agg(F.min("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(MOST_LABELLED)

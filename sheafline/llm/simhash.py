@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 from .components import connected_components
 
 SEED = 42
@@ -99,6 +99,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     All work beyond the fingerprints is on classes of equal ones, so thousands
     of copies are one row there.
     """
+    small_batches(docs.sparkSession)
     own = stored(docs.select(F.col(id).alias("id"), fingerprint(F.col(text), shingle).alias("fp")), "fingerprints")
     classes = stored(own.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-classes")
     pairs = stored(links(classes, "fp", radius).distinct(), "fingerprint-links")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import TwoGenerations, pieces
-from .common import exists, new_path
+from .common import exists, new_path, small_batches
 
 #: How counts are taken; part of the tokenizer's digest, to be raised with any change of meaning.
 RULES = "plain counts, no added specials, no truncation, no padding; 1"
@@ -118,6 +118,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, text: st
     joins narrow digests, whose hot ones adaptive execution splits.
     """
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     with open(tokenizer_path, "rb") as f:
         content = f.read()
     kind = os.path.splitext(tokenizer_path)[1]
