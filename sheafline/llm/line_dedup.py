@@ -12,13 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, release, stored, words
+from .common import BLANKS, join_checked, release, stored, words
 
 THRESHOLD = 0.8
 #: Lines with fewer different words are not compared.
 MIN_WORDS = 5
 #: Hash buckets in which words are counted, for their order by rarity.
 COUNT_BUCKETS = 1 << 20
+#: Early lines for a prefix word that the members of large groups are compared with.
+LEADERS = 4
+#: Places of candidate lines (two numbers each) that are broadcast at most.
+MOST_SENT = 1_000_000
 
 
 def rarity(docs: DataFrame, text: str = "text") -> bytearray:
@@ -51,30 +55,33 @@ def _lines(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, classes: bytearray, threshold: float, id: str, text: str) -> DataFrame:
-    """(id, pos, n, h, bits, prefix, sketches) of every line that is compared.
+    """(id, pos, n, h, bits, more, prefix, sketches) of every line that is compared.
 
-    h is a hash of the set, and bits a bitmap of parities: a bit is whether an
-    odd number of words falls on it, so two sets differ in at least as many
-    words as their bitmaps in bits.  A sketch has three least or greatest of
+    h is a hash of the set; bits and more are a bitmap of parities: a bit is
+    whether an odd number of words falls on it, so two sets differ in at least
+    as many words as their bitmaps in bits.  A sketch has three least or greatest of
     some hash over the rarer half of the words, so similar lines often share one.
     """
-    hashed = _lines(docs, id, text).select("id", "pos", words(F.col("line")).alias("w")).select("id", "pos", F.expr("transform(w, x -> xxhash64(x))").alias("hs"))
+    empty = F.xxhash64(F.lit(""))
+    split = _lines(docs, id, text).select("id", "pos", F.split("line", BLANKS).alias("w"))
+    hashed = split.select("id", "pos", F.array_remove(F.array_distinct(F.transform("w", lambda x: F.xxhash64(x))), empty).alias("hs"))
     at = lambda x: x.bitwiseAND(F.lit(COUNT_BUCKETS - 1)).cast("int") + 1
     rare_first = lambda x: F.shiftleft(
         F.ascii(F.substring(F.lit(classes), at(x), F.lit(1)).cast("string")).cast("long"), 56
     ).bitwiseOR(F.shiftrightunsigned(x, 8))
-    ordered = hashed.select("id", "pos", F.sort_array(F.array_distinct(F.transform("hs", rare_first))).alias("k")).filter(F.size("k") >= MIN_WORDS)
+    ordered = hashed.select("id", "pos", F.sort_array(F.transform("hs", rare_first)).alias("k")).filter(F.size("k") >= MIN_WORDS)
     halves = ordered.withColumn("rare", F.expr(f"transform(slice(k, 1, greatest({MIN_WORDS}, (size(k) + 1) div 2)), x -> shiftleft(x, 8))"))
-    mixed = halves.withColumns({f"m{s}": F.expr(f"transform(rare, x -> shiftleft(x, {s}))") for s in (8, 16, 24, 32)})
-    low = {0: F.array_min("rare"), **{s: F.array_min(f"m{s}") for s in (8, 16, 24, 32)}}
-    high = {0: F.array_max("rare"), **{s: F.array_max(f"m{s}") for s in (8, 16, 24, 32)}}
-    sketches = ((low[0], high[8], low[16]), (high[0], low[24], high[32]), (low[8], high[16], low[32]), (high[24], low[0], high[8]))
+    mixed = halves.withColumns({f"m{s}": F.expr(f"transform(rare, x -> shiftleft(x, {s}))") for s in (12, 24)})
+    low = {0: F.array_min("rare"), 12: F.array_min("m12"), 24: F.array_min("m24")}
+    high = {0: F.array_max("rare"), 12: F.array_max("m12"), 24: F.array_max("m24")}
+    sketches = ((low[0], high[12], low[24]), (high[0], low[12], high[24]))
     return mixed.select(
         "id", "pos", F.size("k").alias("n"), F.xxhash64("k").alias("h"),
-        F.expr("aggregate(k, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63L as int)))").alias("bits"),
+        F.expr("aggregate(k, 0L, (a, x) -> a ^ if((x & 64L) = 0L, shiftleft(1L, cast(x & 63L as int)), 0L))").alias("bits"),
+        F.expr("aggregate(k, 0L, (a, x) -> a ^ if((x & 64L) = 0L, 0L, shiftleft(1L, cast(x & 63L as int))))").alias("more"),
         F.slice("k", F.lit(1), prefix_length(F.size("k"), threshold).cast("int")).alias("prefix"),
         F.array(*[F.xxhash64(F.lit(k), *s) for k, s in enumerate(sketches)]).alias("sketches"),
-    ).select("id", "pos", "n", "h", "bits", _short("prefix").alias("prefix"), "sketches")
+    ).select("id", "pos", "n", "h", "bits", "more", _short("prefix").alias("prefix"), "sketches")
 
 
 def _short(prefix: str) -> Column:
@@ -86,10 +93,10 @@ def _short(prefix: str) -> Column:
     return F.expr(f"transform({kept}, s -> struct(cast(s.i as int) as i, cast((s.x & 4294967295L) - 2147483648L as int) as t))")
 
 
-def _room(n: Column, m: Column, threshold: float, *rooms: Column, bits: Column) -> Column:
+def _room(n: Column, m: Column, threshold: float, *rooms: Column, bits: list[Column]) -> Column:
     """Length, positional and bitmap filters of sets of n and m words."""
     share = needed(n, m, threshold)
-    out = (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (F.bit_count(bits) <= n + m - 2 * share)
+    out = (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (F.bit_count(bits[0]) + F.bit_count(bits[1]) <= n + m - 2 * share)
     return out & (F.least(*rooms) >= share) if rooms else out
 
 
@@ -97,37 +104,51 @@ def matched_lines(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_
     """(id, pos) of every line of which a similar one stands before it; pos counts from 0.
 
     Lines of equal words are one class, whose first stands for it.  Lines that
-    share a sketch are compared with the earliest of them first, which settles
-    most members of a large group in proportion to their number.  Then all
-    pairs are sought that share a prefix word, unless both are settled.
+    share a sketch are compared with the earliest of them first, then with a
+    few early lines for each of their prefix words; this settles nearly all
+    members of a large group in proportion to their number.  Then all pairs
+    are sought that share a prefix word, unless both are settled.
     """
     lines = stored(line_sets(docs, rarity(docs, text), threshold, id, text), "line-sets")
     classes = stored(
-        lines.groupBy("h", "bits").agg(F.min(F.struct("id", "pos", "n", "prefix", "sketches")).alias("first")).select("h", "bits", "first.*"), "line-classes"
+        lines.groupBy("h", "bits").agg(F.min(F.struct("id", "pos", "n", "more", "prefix", "sketches")).alias("first")).select("h", "bits", "first.*"), "line-classes"
     )
     bare = lines.select("id", "pos", "h", "bits")
     place = F.struct("id", "pos")
 
-    member = classes.select(F.explode("sketches").alias("sketch"), F.struct("id", "pos", "n", "h", "bits").alias("x"))
-    leaders = member.groupBy("sketch").agg(F.min("x").alias("y"), F.count("*").alias("size")).filter("size > 1").select("sketch", "y")
-    ok = _room(F.col("x.n"), F.col("y.n"), threshold, bits=F.col("x.bits").bitwiseXOR(F.col("y.bits")))
-    first = member.join(leaders, "sketch").filter(ok & (F.col("x") != F.col("y"))).select("x", "y").distinct()
-    settled = stored(_verified(docs, first, threshold, id, text), "line-settled")
+    line = F.struct("id", "pos", "n", "h", "bits", "more")
+    apart = lambda a, b: [F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in ("bits", "more")]
+    earlier = F.col("y") < F.col("x")
+    ok = _room(F.col("x.n"), F.col("y.n"), threshold, bits=apart("x.", "y."))
+
+    member = classes.select(F.explode("sketches").alias("sketch"), line.alias("x"))
+    groups = stored(member.groupBy("sketch").agg(F.min("x").alias("y"), F.count("*").alias("size")).filter("size > 1").select("sketch", "y"), "line-groups")
+    shared = member.join(groups, "sketch")
+    first = stored(_verified(docs, shared.filter(earlier & ok).select("x", "y").distinct(), threshold, id, text), "line-settled")
+
+    # what shares a sketch with anything may be in a large group: what is left of it is compared with a few early lines for each prefix word
+    pool = shared.select(F.col("x.h").alias("h"), F.col("x.bits").alias("bits")).distinct()
+    crowd = stored(classes.join(pool, ["h", "bits"], "left_semi").select(line.alias("x"), F.explode("prefix").alias("p")).select("x", "p.t"), "line-crowd")
+    leaders = crowd.groupBy("t", F.pmod("x.h", F.lit(LEADERS)).alias("k")).agg(F.min("x").alias("y")).select("t", "y")
+    left_over = crowd.join(first, (F.col("x.h") == first.h) & (F.col("x.bits") == first.bits), "left_anti")
+    second = _verified(docs, left_over.join(leaders, "t").filter(earlier & ok).select("x", "y").distinct(), threshold, id, text)
+    settled = stored(first.unionByName(second), "line-settled")
+    release(first, groups, crowd)
 
     flagged = classes.join(settled.withColumn("settled", F.lit(True)), ["h", "bits"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
     # a smaller or equal set of a pair shares a word within an even shorter prefix
     short = F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1
-    posted = flagged.select("h", "bits", "n", "settled", F.explode("prefix").alias("p")).select(
-        "h", "bits", F.col("p.t").alias("t"), F.col("p.i").alias("i"), "n", "settled"
+    posted = flagged.select("h", "bits", "more", "n", "settled", F.explode("prefix").alias("p")).select(
+        "h", "bits", "more", F.col("p.t").alias("t"), F.col("p.i").alias("i"), "n", "settled"
     )
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft("i", 1).cast("long")).bitwiseOR(F.col("settled").cast("long"))
-    row = lambda s: ["t", F.col("h").alias(f"{s}_h"), F.col("bits").alias(f"{s}_bits"), packed.alias(f"{s}_p")]
+    row = lambda s: ["t", F.col("h").alias(f"{s}_h"), F.col("bits").alias(f"{s}_bits"), F.col("more").alias(f"{s}_more"), packed.alias(f"{s}_p")]
     large, small = posted.select(*row("x")), posted.filter(F.col("i") < short).select(*row("y"))
     n = lambda s: F.shiftright(f"{s}_p", 32)
     left = lambda s: n(s) - F.shiftright(F.col(f"{s}_p").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
     open_ = F.col("x_p").bitwiseAND(F.col("y_p")).bitwiseAND(F.lit(1)) == 0
     once = (n("y") < n("x")) | ((n("y") == n("x")) & ((F.col("y_h") < F.col("x_h")) | ((F.col("y_h") == F.col("x_h")) & (F.col("y_bits") < F.col("x_bits")))))
-    ok = _room(n("x"), n("y"), threshold, left("x"), left("y"), bits=F.col("x_bits").bitwiseXOR(F.col("y_bits")))
+    ok = _room(n("x"), n("y"), threshold, left("x"), left("y"), bits=apart("x_", "y_"))
     pairs = stored(large.join(small, "t").filter(open_ & once & ok).select("x_h", "x_bits", "y_h", "y_bits").distinct(), "line-pairs")
     at = lambda s: classes.select(F.col("h").alias(f"{s}_h"), F.col("bits").alias(f"{s}_bits"), F.struct("id", "pos", "n", "h", "bits").alias(s))
     both = pairs.join(at("x"), ["x_h", "x_bits"]).join(at("y"), ["y_h", "y_bits"])
@@ -152,7 +173,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float, id: str, text
     ), "line-candidates")
     either = F.array(*[F.struct(F.col(f"{s}_id").alias("id"), F.col(f"{s}_pos").alias("pos")) for s in "xy"])
     wanted = stored(kept.select(F.explode(either).alias("l")).select("l.id", "l.pos").distinct(), "line-wanted")
-    sets = _lines(docs, id, text).join(wanted, ["id", "pos"]).select("id", "pos", F.array_distinct(words(F.col("line"))).alias("w"))
+    # narrow rows: sent to all tasks if counted to be few, so that texts stay where they are; else texts are dealt out by place
+    sets = join_checked(_lines(docs, id, text), wanted, ["id", "pos"], rows=MOST_SENT).select("id", "pos", F.array_distinct(words(F.col("line"))).alias("w"))
     sets = stored(sets, "line-words")
     side = lambda s: sets.select(F.col("id").alias(f"{s}_id"), F.col("pos").alias(f"{s}_pos"), F.col("w").alias(f"{s}_w"))
     both = kept.join(side("x"), ["x_id", "x_pos"]).join(side("y"), ["y_id", "y_pos"])
