@@ -113,7 +113,8 @@ def matched_lines(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_
     classes = stored(
         lines.groupBy("h", "bits").agg(F.min(F.struct("id", "pos", "n", "more", "prefix", "sketches")).alias("first")).select("h", "bits", "first.*"), "line-classes"
     )
-    bare = lines.select("id", "pos", "h", "bits")
+    bare = stored(lines.select("id", "pos", "h", "bits"), "line-places")
+    release(lines)
     place = F.struct("id", "pos")
 
     line = F.struct("id", "pos", "n", "h", "bits", "more")
@@ -161,7 +162,7 @@ def matched_lines(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_
     out = stored(
         bare.join(fate, ["h", "bits"]).filter(F.col("gone").isNotNull() | (place != F.col("first"))).select("id", "pos").distinct(), "line-matched"
     )
-    release(found, classes, lines)
+    release(found, classes, bare)
     return out
 
 
