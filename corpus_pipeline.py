@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm import bpe, line_dedup, mixing, quality, simhash
+from sheafline.llm import bpe, line_dedup, mixing, quality, shingle_join
 from sheafline.llm.common import stored, table
 
 
@@ -25,12 +25,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates (five-word shingles, at most 3 of 64 bits).
+    """The first document of each group of near-duplicates (Jaccard of five-word shingles at least 0.8).
 
     All documents that the stage before left without text are one group.
     Documents without an id can't be told apart and stay.
     """
-    found = simhash.near_duplicates(docs, shingle=5, radius=3)
+    found = shingle_join.near_texts(docs, threshold=0.8, shingle=5)
     others = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 

@@ -8,7 +8,7 @@ enumerated, looked up in the table, and complete distances are verified.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +24,33 @@ SEED = 42
 BLOCK = 50_000
 
 
-def fingerprint_of(text: str | None, shingle: int) -> int:
-    """The fingerprint as an unsigned integer; texts without words have 0."""
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """64-bit hashes (uint64) of a text's word shingles in order, BLOCK at a time; none without words."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return
     joined = b" ".join(w)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(w))
     first, last = starts[: len(w) - k + 1].tolist(), ends[k - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
     for at in range(0, len(first), BLOCK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + BLOCK], last[at : at + BLOCK], strict=True)], "<u8")
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + BLOCK], last[at : at + BLOCK], strict=True)], "<u8")
+
+
+def bits_of(hashes: Iterable[np.ndarray]) -> int:
+    """The bits that more than half of all hashes have; 0 without any."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in hashes:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(first), bitorder="little").view("<u8")[0])
+        n += len(h)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint_of(text: str | None, shingle: int) -> int:
+    """The fingerprint as an unsigned integer; texts without words have 0."""
+    return bits_of(shingle_hashes(text, shingle))
 
 
 def fingerprint(text: Column, shingle: int) -> Column:
