@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from .common import BLANKS, join_checked, release, stored, words
 
 THRESHOLD = 0.8
-#: Lines with fewer different words are not compared.
-MIN_WORDS = 5
+#: Lines without words are not compared; all others are.
+MIN_WORDS = 1
+#: The rarer half of a set, from which sketches are made, has so many words if there are as many.
+SKETCH_WORDS = 5
 #: Hash buckets in which words are counted, for their order by rarity.
 COUNT_BUCKETS = 1 << 20
 #: Early lines for a prefix word that the members of large groups are compared with.
@@ -61,6 +63,8 @@ def line_sets(docs: DataFrame, classes: bytearray, threshold: float, id: str, te
     whether an odd number of words falls on it, so two sets differ in at least
     as many words as their bitmaps in bits.  A sketch has three least or greatest of
     some hash over the rarer half of the words, so similar lines often share one.
+    Sets that are too small to be similar to any but an equal one (of up to three
+    words at 0.8) have neither prefix nor sketches: their class settles them.
     """
     empty = F.xxhash64(F.lit(""))
     split = _lines(docs, id, text).select("id", "pos", F.split("line", BLANKS).alias("w"))
@@ -70,17 +74,18 @@ def line_sets(docs: DataFrame, classes: bytearray, threshold: float, id: str, te
         F.ascii(F.substring(F.lit(classes), at(x), F.lit(1)).cast("string")).cast("long"), 56
     ).bitwiseOR(F.shiftrightunsigned(x, 8))
     ordered = hashed.select("id", "pos", F.sort_array(F.transform("hs", rare_first)).alias("k")).filter(F.size("k") >= MIN_WORDS)
-    halves = ordered.withColumn("rare", F.expr(f"transform(slice(k, 1, greatest({MIN_WORDS}, (size(k) + 1) div 2)), x -> shiftleft(x, 8))"))
+    halves = ordered.withColumn("rare", F.expr(f"transform(slice(k, 1, greatest({SKETCH_WORDS}, (size(k) + 1) div 2)), x -> shiftleft(x, 8))"))
     mixed = halves.withColumns({f"m{s}": F.expr(f"transform(rare, x -> shiftleft(x, {s}))") for s in (12, 24)})
     low = {0: F.array_min("rare"), 12: F.array_min("m12"), 24: F.array_min("m24")}
     high = {0: F.array_max("rare"), 12: F.array_max("m12"), 24: F.array_max("m24")}
     sketches = ((low[0], high[12], low[24]), (high[0], low[12], high[24]))
+    joins = F.size("k") * (1 - threshold) >= threshold - 1e-9
     return mixed.select(
         "id", "pos", F.size("k").alias("n"), F.xxhash64("k").alias("h"),
         F.expr("aggregate(k, 0L, (a, x) -> a ^ if((x & 64L) = 0L, shiftleft(1L, cast(x & 63L as int)), 0L))").alias("bits"),
         F.expr("aggregate(k, 0L, (a, x) -> a ^ if((x & 64L) = 0L, 0L, shiftleft(1L, cast(x & 63L as int))))").alias("more"),
-        F.slice("k", F.lit(1), prefix_length(F.size("k"), threshold).cast("int")).alias("prefix"),
-        F.array(*[F.xxhash64(F.lit(k), *s) for k, s in enumerate(sketches)]).alias("sketches"),
+        F.slice("k", F.lit(1), F.when(joins, prefix_length(F.size("k"), threshold)).otherwise(0).cast("int")).alias("prefix"),
+        F.when(joins, F.array(*[F.xxhash64(F.lit(k), *s) for k, s in enumerate(sketches)])).otherwise(F.array().cast("array<bigint>")).alias("sketches"),
     ).select("id", "pos", "n", "h", "bits", "more", _short("prefix").alias("prefix"), "sketches")
 
 
@@ -189,8 +194,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float, id: str, text
 def without_matches(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the text less its matched lines, `n_lines` and `n_removed` (long).
 
-    Lines are what stands between \\n; those with fewer than MIN_WORDS different
-    words stay, and the order of the rest is kept.  A document without removed
+    Lines are what stands between \\n; those without words stay, and the order
+    of the rest is kept.  A document without removed
     lines keeps its very text; null stays null with no lines.  Rows with a null
     id are not compared and stay as they are.  Rows that repeat an id are
     one place: what goes in one goes in all, the first line as well as none of
