@@ -582,8 +582,7 @@ def counter_at(spark: SparkSession, d: str) -> DataFrame:
   FROM counted WHERE level <= 2 AND n2 <= 26""")
 def counter_display(spark: SparkSession, d: str) -> DataFrame:
     rows = folds.counter_steps(_elements(spark, d).filter("level <= 2"), 2, ["doc_id"])
-    few = rows.filter(F.coalesce(F.get("counter", F.lit(1)), F.lit(0)) <= 26)
-    return few.select("doc_id", "ord", numbering.numbering(F.col("counter"), "1.a)").alias("shown"))
+    return rows.select("doc_id", "ord", numbering.numbering(F.col("counter"), "1.a)").alias("shown"))
 
 
 @query("""SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id), -1) AS state FROM events""")
