@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: One or more ASCII blanks: what separates words everywhere in this package.
 BLANKS = r"[\x20\x09-\x0D]+"
+#: Their characters.
+BLANK_CHARS = " \t\n\x0b\x0c\r"
 #: A word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Used only where the session names no spark.checkpoint.dir, as in tests.

@@ -9,38 +9,57 @@ line stands before it, in a document with a smaller id or above it.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, join_checked, release, stored, words
+from .common import BLANK_CHARS, BLANKS, release, stored, words
 
 THRESHOLD = 0.8
-#: Lines without words are not compared; all others are.
-MIN_WORDS = 1
-#: The rarer half of a set, from which sketches are made, has so many words if there are as many.
-SKETCH_WORDS = 5
 #: Hash buckets in which words are counted, for their order by rarity.
 COUNT_BUCKETS = 1 << 20
-#: Early lines for a prefix word that the members of large groups are compared with.
-LEADERS = 4
-#: Places of candidate lines (two numbers each) that are broadcast at most.
+#: The class of a word that stands once in the corpus, so no two lines share it.
+UNSHARED = 5
+#: The rarest words of a line by which it meets the first line that has them.
+RAREST = 3
+#: Places of lines (two numbers each) that are broadcast at most.
 MOST_SENT = 1_000_000
 
 
-def rarity(docs: DataFrame, text: str = "text") -> bytearray:
-    """For each hash bucket of words a byte: about 1 + 4 * log2(1 + its words in all texts).
+def rarity(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row with `classes`, array<tinyint>: for each hash bucket of words about 1 + 4 * log2(1 + its words in all texts).
 
-    The order of words by (byte, hash) is one order for all lines whatever the
-    counts, so results don't depend on buckets; 5 is a word that stands once in
-    the corpus and can't be shared.  There are COUNT_BUCKETS bytes for any corpus.
+    The order of words by (class, hash) is one order for all lines whatever the
+    counts, so results don't depend on buckets.  There are COUNT_BUCKETS bytes for any corpus.
     """
-    bucket = F.col("h").bitwiseAND(F.lit(COUNT_BUCKETS - 1))
-    said = F.explode(F.split(F.coalesce(F.col(text), F.lit("")), BLANKS)).alias("w")
-    counts = docs.select(said).select(F.xxhash64("w").alias("h")).groupBy(bucket.alias("k")).agg(F.count("*").alias("n"))
-    dense = docs.sparkSession.range(COUNT_BUCKETS).withColumnRenamed("id", "k").join(counts, "k", "left")
-    each = F.char(F.least(F.lit(120), F.floor(4 * F.log2(F.coalesce("n", F.lit(0)) + 1)) + 1).cast("int"))
-    row = dense.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", each.alias("c")))), lambda s: s["c"]), "").alias("bytes"))
-    return bytearray(row.first()[0].encode("ascii"))
+    said = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), BLANKS)).alias("w"))
+    counted = said.select(_bucket(F.xxhash64("w")).alias("k"), F.lit(1).cast("long").alias("n"))
+    every = docs.sparkSession.range(COUNT_BUCKETS).select(F.col("id").cast("int").alias("k"), F.lit(0).cast("long").alias("n"))
+    counts = counted.unionAll(every).groupBy("k").agg(F.sum("n").alias("n"))
+    of = (F.least(F.lit(120), F.floor(4 * F.log2(F.col("n") + 1))) + 1).cast("tinyint")
+    parts = counts.groupBy(F.shiftright("k", 10).alias("part")).agg(F.array_sort(F.collect_list(F.struct("k", of.alias("c"))))["c"].alias("cs"))
+    return parts.agg(F.flatten(F.array_sort(F.collect_list(F.struct("part", "cs")))["cs"]).alias("classes"))
+
+
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(COUNT_BUCKETS - 1)).cast("int")
+
+
+@contextmanager
+def _variable(row: DataFrame) -> Iterator[Column]:
+    """The only value of row as a session variable: plans refer to it without printing a megabyte."""
+    spark, name = row.sparkSession, f"sheafline_{uuid.uuid4().hex}"
+    spark.sql(f"DECLARE VARIABLE {name} {row.schema[0].dataType.simpleString()}")
+    row.createOrReplaceTempView(name)
+    try:
+        spark.sql(f"SET VAR {name} = (SELECT * FROM {name})")
+        yield F.expr(name)
+    finally:
+        spark.catalog.dropTempView(name)
+        spark.sql(f"DROP TEMPORARY VARIABLE {name}")
 
 
 def prefix_length(n: Column, threshold: float) -> Column:
@@ -52,145 +71,132 @@ def needed(a: Column, b: Column, threshold: float) -> Column:
     return F.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9)
 
 
-def _lines(docs: DataFrame, id: str, text: str) -> DataFrame:
-    return docs.select(F.col(id).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line"))
+def line_sets(docs: DataFrame, classes: Column, threshold: float, id: str, text: str) -> DataFrame:
+    """(id, pos, n, h, g, bits, prefix) of every line with a word.
 
+    Words are 8 bits of rarity and 56 of hash, h and g 128 bits of hash of the
+    set.  bits is a bitmap of parities: a bit is whether an odd number of words
+    falls on it, so two sets differ in at least as many words as their bitmaps
+    in bits.  A prefix lacks the words that stand once in the corpus.  Sets too
+    small to be similar to any but an equal one (of up to three words at 0.8)
+    have no prefix: their class settles them.
+    """
+    lines = docs.select(F.col(id).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line"))
+    clear = lines.select("id", "pos", F.btrim("line", F.lit(BLANK_CHARS)).alias("line")).filter("line <> ''")
 
-def line_sets(docs: DataFrame, classes: bytearray, threshold: float, id: str, text: str) -> DataFrame:
-    """(id, pos, n, h, bits, more, prefix, sketches) of every line that is compared.
+    def rare_first(word: Column) -> Column:
+        h = F.xxhash64(word)
+        return F.shiftleft(F.coalesce(F.get(classes, _bucket(h)), F.lit(0)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    h is a hash of the set; bits and more are a bitmap of parities: a bit is
-    whether an odd number of words falls on it, so two sets differ in at least
-    as many words as their bitmaps in bits.  A sketch has three least or greatest of
-    some hash over the rarer half of the words, so similar lines often share one.
-    Sets that are too small to be similar to any but an equal one (of up to three
-    words at 0.8) have neither prefix nor sketches: their class settles them.
-    """
-    empty = F.xxhash64(F.lit(""))
-    split = _lines(docs, id, text).select("id", "pos", F.split("line", BLANKS).alias("w"))
-    hashed = split.select("id", "pos", F.array_remove(F.array_distinct(F.transform("w", lambda x: F.xxhash64(x))), empty).alias("hs"))
-    at = lambda x: x.bitwiseAND(F.lit(COUNT_BUCKETS - 1)).cast("int") + 1
-    rare_first = lambda x: F.shiftleft(
-        F.ascii(F.substring(F.lit(classes), at(x), F.lit(1)).cast("string")).cast("long"), 56
-    ).bitwiseOR(F.shiftrightunsigned(x, 8))
-    ordered = hashed.select("id", "pos", F.sort_array(F.transform("hs", rare_first)).alias("k")).filter(F.size("k") >= MIN_WORDS)
-    halves = ordered.withColumn("rare", F.expr(f"transform(slice(k, 1, greatest({SKETCH_WORDS}, (size(k) + 1) div 2)), x -> shiftleft(x, 8))"))
-    mixed = halves.withColumns({f"m{s}": F.expr(f"transform(rare, x -> shiftleft(x, {s}))") for s in (12, 24)})
-    low = {0: F.array_min("rare"), 12: F.array_min("m12"), 24: F.array_min("m24")}
-    high = {0: F.array_max("rare"), 12: F.array_max("m12"), 24: F.array_max("m24")}
-    sketches = ((low[0], high[12], low[24]), (high[0], low[12], high[24]))
-    joins = F.size("k") * (1 - threshold) >= threshold - 1e-9
-    return mixed.select(
-        "id", "pos", F.size("k").alias("n"), F.xxhash64("k").alias("h"),
-        F.expr("aggregate(k, 0L, (a, x) -> a ^ if((x & 64L) = 0L, shiftleft(1L, cast(x & 63L as int)), 0L))").alias("bits"),
-        F.expr("aggregate(k, 0L, (a, x) -> a ^ if((x & 64L) = 0L, 0L, shiftleft(1L, cast(x & 63L as int))))").alias("more"),
-        F.slice("k", F.lit(1), F.when(joins, prefix_length(F.size("k"), threshold)).otherwise(0).cast("int")).alias("prefix"),
-        F.when(joins, F.array(*[F.xxhash64(F.lit(k), *s) for k, s in enumerate(sketches)])).otherwise(F.array().cast("array<bigint>")).alias("sketches"),
-    ).select("id", "pos", "n", "h", "bits", "more", _short("prefix").alias("prefix"), "sketches")
-
-
-def _short(prefix: str) -> Column:
-    """(place, 32 bits of the word's key) of the prefix words that stand more than once in the corpus.
-
-    With 32 bits more pairs may meet than share a word; none are missed.
+    sets = clear.select("id", "pos", F.array_distinct(F.sort_array(F.transform(F.split("line", BLANKS), rare_first))).alias("k"))
+    n = F.size("k")
+    joins = n * (1 - threshold) >= threshold - 1e-9
+    return sets.select(
+        "id", "pos", n.alias("n"), F.xxhash64("k").alias("h"), F.xxhash64(F.lit(1), "k").alias("g"),
+        F.expr("aggregate(k, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63L as int)))").alias("bits"),
+        F.slice("k", F.lit(1), F.when(joins, prefix_length(n, threshold)).otherwise(0).cast("int")).alias("prefix"),
+    ).withColumn("prefix", F.filter("prefix", lambda x: x >= F.lit((UNSHARED + 1) << 56)))
+
+
+def postings(classes: DataFrame, threshold: float) -> DataFrame:
+    """(t, part, id, pos, n, bits, i, k) for each word of a prefix.
+
+    i is its place in the ordered set, k in the prefix; part is the length
+    partition of the set: similar sets are in the same or in neighbouring ones.
     """
-    kept = f"filter(transform({prefix}, (x, i) -> struct(i, x)), s -> shiftright(s.x, 56) > 5)"
-    return F.expr(f"transform({kept}, s -> struct(cast(s.i as int) as i, cast((s.x & 4294967295L) - 2147483648L as int) as t))")
+    unshared = prefix_length(F.col("n"), threshold) - F.size("prefix")  # they stand first
+    part = F.floor(F.log("n") / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
+    return classes.select("id", "pos", "n", "bits", part.alias("part"), unshared.alias("u"), F.posexplode("prefix").alias("k", "t")).select(
+        "t", "part", "id", "pos", "n", "bits", (F.col("u") + F.col("k")).cast("int").alias("i"), "k"
+    )
 
 
-def _room(n: Column, m: Column, threshold: float, *rooms: Column, bits: list[Column]) -> Column:
-    """Length, positional and bitmap filters of sets of n and m words."""
+def _room(threshold: float) -> Column:
+    """Length, positional and bitmap filters of x and y (n, i, bits)."""
+    n, m = F.col("x_n"), F.col("y_n")
     share = needed(n, m, threshold)
-    out = (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (F.bit_count(bits[0]) + F.bit_count(bits[1]) <= n + m - 2 * share)
-    return out & (F.least(*rooms) >= share) if rooms else out
+    return (
+        (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (F.least(n - F.col("x_i"), m - F.col("y_i")) >= share)
+        & (F.bit_count(F.col("x_bits").bitwiseXOR(F.col("y_bits"))) <= n + m - 2 * share)
+    )
+
 
+def _named(frame: DataFrame, side: str, *others: Column | str) -> DataFrame:
+    return frame.select(*others, *[F.col(c).alias(f"{side}_{c}") for c in ("id", "pos", "n", "bits", "i")])
 
-def matched_lines(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, pos) of every line of which a similar one stands before it; pos counts from 0.
 
-    Lines of equal words are one class, whose first stands for it.  Lines that
-    share a sketch are compared with the earliest of them first, then with a
-    few early lines for each of their prefix words; this settles nearly all
-    members of a large group in proportion to their number.  Then all pairs
-    are sought that share a prefix word, unless both are settled.
+def matched_classes(docs: DataFrame, classes: DataFrame, threshold: float, id: str, text: str) -> DataFrame:
+    """(id, pos) of the first line of every class to which a similar class begins before it.
+
+    A line is first compared with the earliest line that has one of its
+    rarest words: this settles nearly all members of a large group in
+    proportion to their number.  Then all pairs are sought that share a prefix
+    word and of which the later line isn't settled.
     """
-    lines = stored(line_sets(docs, rarity(docs, text), threshold, id, text), "line-sets")
-    classes = stored(
-        lines.groupBy("h", "bits").agg(F.min(F.struct("id", "pos", "n", "more", "prefix", "sketches")).alias("first")).select("h", "bits", "first.*"), "line-classes"
-    )
-    bare = stored(lines.select("id", "pos", "h", "bits"), "line-places")
-    release(lines)
-    place = F.struct("id", "pos")
-
-    line = F.struct("id", "pos", "n", "h", "bits", "more")
-    apart = lambda a, b: [F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in ("bits", "more")]
-    earlier = F.col("y") < F.col("x")
-    ok = _room(F.col("x.n"), F.col("y.n"), threshold, bits=apart("x.", "y."))
-
-    member = classes.select(F.explode("sketches").alias("sketch"), line.alias("x"))
-    groups = stored(member.groupBy("sketch").agg(F.min("x").alias("y"), F.count("*").alias("size")).filter("size > 1").select("sketch", "y"), "line-groups")
-    shared = member.join(groups, "sketch")
-    first = stored(_verified(docs, shared.filter(earlier & ok).select("x", "y").distinct(), threshold, id, text), "line-settled")
-
-    # what shares a sketch with anything may be in a large group: what is left of it is compared with a few early lines for each prefix word
-    pool = shared.select(F.col("x.h").alias("h"), F.col("x.bits").alias("bits")).distinct()
-    crowd = stored(classes.join(pool, ["h", "bits"], "left_semi").select(line.alias("x"), F.explode("prefix").alias("p")).select("x", "p.t"), "line-crowd")
-    leaders = crowd.groupBy("t", F.pmod("x.h", F.lit(LEADERS)).alias("k")).agg(F.min("x").alias("y")).select("t", "y")
-    left_over = crowd.join(first, (F.col("x.h") == first.h) & (F.col("x.bits") == first.bits), "left_anti")
-    second = _verified(docs, left_over.join(leaders, "t").filter(earlier & ok).select("x", "y").distinct(), threshold, id, text)
-    settled = stored(first.unionByName(second), "line-settled")
-    release(first, groups, crowd)
-
-    flagged = classes.join(settled.withColumn("settled", F.lit(True)), ["h", "bits"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    places = ["x_id", "x_pos", "y_id", "y_pos"]
+    later = F.struct("x_id", "x_pos") > F.struct("y_id", "y_pos")
+    posted = postings(classes, threshold)
+
+    rarest = posted.filter(F.col("k") < RAREST)
+    earliest = rarest.groupBy("t", "part").agg(F.min("id").alias("y_id"), *[F.min_by(c, "id").alias(f"y_{c}") for c in ("pos", "n", "bits", "i")])
+    met = _named(rarest, "x", "t", "part").join(earliest, ["t", "part"]).filter(later & _room(threshold))
+    settled = _verified(docs, met.select(*places), threshold, id, text)
+
+    flagged = posted.join(
+        F.broadcast(settled) if settled.count() <= MOST_SENT else settled, ["id", "pos"], "left"
+    ).withColumn("settled", F.coalesce("settled", F.lit(False)))
     # a smaller or equal set of a pair shares a word within an even shorter prefix
     short = F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1
-    posted = flagged.select("h", "bits", "more", "n", "settled", F.explode("prefix").alias("p")).select(
-        "h", "bits", "more", F.col("p.t").alias("t"), F.col("p.i").alias("i"), "n", "settled"
-    )
-    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft("i", 1).cast("long")).bitwiseOR(F.col("settled").cast("long"))
-    row = lambda s: ["t", F.col("h").alias(f"{s}_h"), F.col("bits").alias(f"{s}_bits"), F.col("more").alias(f"{s}_more"), packed.alias(f"{s}_p")]
-    large, small = posted.select(*row("x")), posted.filter(F.col("i") < short).select(*row("y"))
-    n = lambda s: F.shiftright(f"{s}_p", 32)
-    left = lambda s: n(s) - F.shiftright(F.col(f"{s}_p").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
-    open_ = F.col("x_p").bitwiseAND(F.col("y_p")).bitwiseAND(F.lit(1)) == 0
-    once = (n("y") < n("x")) | ((n("y") == n("x")) & ((F.col("y_h") < F.col("x_h")) | ((F.col("y_h") == F.col("x_h")) & (F.col("y_bits") < F.col("x_bits")))))
-    ok = _room(n("x"), n("y"), threshold, left("x"), left("y"), bits=apart("x_", "y_"))
-    pairs = stored(large.join(small, "t").filter(open_ & once & ok).select("x_h", "x_bits", "y_h", "y_bits").distinct(), "line-pairs")
-    at = lambda s: classes.select(F.col("h").alias(f"{s}_h"), F.col("bits").alias(f"{s}_bits"), F.struct("id", "pos", "n", "h", "bits").alias(s))
-    both = pairs.join(at("x"), ["x_h", "x_bits"]).join(at("y"), ["y_h", "y_bits"])
-    rest = both.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
-    found = stored(settled.unionByName(_verified(docs, rest, threshold, id, text)).distinct(), "line-found")
-    release(pairs, settled)
-
-    # every line of a class goes that is not its first, or whose first goes
-    fate = classes.select("h", "bits", place.alias("first")).join(found.withColumn("gone", F.lit(True)), ["h", "bits"], "left")
-    out = stored(
-        bare.join(fate, ["h", "bits"]).filter(F.col("gone").isNotNull() | (place != F.col("first"))).select("id", "pos").distinct(), "line-matched"
-    )
-    release(found, classes, bare)
+    large = _named(flagged, "x", "t", F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), F.col("settled").alias("x_settled"))
+    small = _named(flagged.filter(F.col("i") < short), "y", "t", "part", F.col("settled").alias("y_settled"))
+    once = (F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & later)
+    open_ = F.when(later, ~F.col("x_settled")).otherwise(~F.col("y_settled"))
+    pairs = large.join(small, ["t", "part"]).filter(once & open_ & _room(threshold))
+    both = [F.struct(F.col(f"{s}_id").alias("id"), F.col(f"{s}_pos").alias("pos")) for s in "xy"]
+    ordered = pairs.select(F.greatest(*both).alias("x"), F.least(*both).alias("y")).select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("id", "pos")])
+    rest = _verified(docs, ordered, threshold, id, text)
+    out = stored(settled.unionByName(rest).select("id", "pos").distinct(), "line-matched")
+    release(settled, rest)
     return out
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, threshold: float, id: str, text: str) -> DataFrame:
-    """(h, bits) of the lines x of pairs(x, y) that are similar to y, by the words themselves."""
-    kept = stored(pairs.select(
-        F.col("x.h").alias("h"), F.col("x.bits").alias("bits"),
-        *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("id", "pos")],
-    ), "line-candidates")
+    """(id, pos, settled) of the lines x of pairs (x_id, x_pos, y_id, y_pos) that are similar to y, by the words themselves."""
+    kept = stored(pairs.distinct(), "line-candidates")
     either = F.array(*[F.struct(F.col(f"{s}_id").alias("id"), F.col(f"{s}_pos").alias("pos")) for s in "xy"])
-    wanted = stored(kept.select(F.explode(either).alias("l")).select("l.id", "l.pos").distinct(), "line-wanted")
-    # narrow rows: sent to all tasks if counted to be few, so that texts stay where they are; else texts are dealt out by place
-    sets = join_checked(_lines(docs, id, text), wanted, ["id", "pos"], rows=MOST_SENT).select("id", "pos", F.array_distinct(words(F.col("line"))).alias("w"))
-    sets = stored(sets, "line-words")
-    side = lambda s: sets.select(F.col("id").alias(f"{s}_id"), F.col("pos").alias(f"{s}_pos"), F.col("w").alias(f"{s}_w"))
+    wanted = kept.select(F.explode(either).alias("l")).select("l.id", "l.pos").distinct().groupBy("id").agg(F.collect_list("pos").alias("at"))
+    wanted = stored(wanted.withColumnRenamed("id", "__id"), "line-wanted")
+    # narrow rows: sent to all tasks if counted to be few, so that texts stay where they are
+    few = 2 * kept.count() <= MOST_SENT
+    of = docs.join(F.broadcast(wanted) if few else wanted, F.col(id) == F.col("__id"))
+    lines = of.select(F.col("__id").alias("id"), F.split(text, "\n").alias("lines"), F.explode("at").alias("pos"))
+    sets = stored(lines.select("id", "pos", F.array_distinct(words(F.get("lines", F.col("pos")))).alias("w")), "line-words")
+    side = lambda s: sets.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "pos", "w")])
     both = kept.join(side("x"), ["x_id", "x_pos"]).join(side("y"), ["y_id", "y_pos"])
     shared = F.size(F.array_intersect("x_w", "y_w"))
     jaccard = shared / (F.size("x_w") + F.size("y_w") - shared)
-    out = stored(both.filter(jaccard >= threshold - 1e-12).select("h", "bits").distinct(), "line-similar")
+    similar = both.filter(jaccard >= threshold - 1e-12).select(F.col("x_id").alias("id"), F.col("x_pos").alias("pos")).distinct()
+    out = stored(similar.withColumn("settled", F.lit(True)), "line-similar")
     release(kept, wanted, sets)
     return out
 
 
+def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, pos) of every line with a word before which no similar one stands; pos counts from 0.
+
+    Lines of equal sets of words are one class, of which only the first can stay.
+    """
+    with _variable(rarity(docs, text)) as table:
+        lines = stored(line_sets(docs, table, threshold, id, text), "line-sets")
+    first = F.min(F.struct("id", "pos", "n", "bits", "prefix")).alias("first")
+    classes = stored(lines.groupBy("h", "g").agg(first).select("first.*"), "line-classes")
+    release(lines)
+    matched = matched_classes(docs, classes, threshold, id, text)
+    out = stored(classes.select("id", "pos").join(matched, ["id", "pos"], "left_anti").distinct(), "line-kept")
+    release(classes, matched)
+    return out
+
+
 def without_matches(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the text less its matched lines, `n_lines` and `n_removed` (long).
 
@@ -203,14 +209,17 @@ def without_matches(docs: DataFrame, threshold: float = THRESHOLD, id: str = "do
     but n_lines and n_removed are replaced.
     """
     clear = docs.drop("n_lines", "n_removed")
-    known = clear.filter(F.col(id).isNotNull())
-    gone = matched_lines(known, threshold, id, text).groupBy(F.col("id").alias("__id")).agg(F.collect_set("pos").alias("__gone"))
-    gone = gone.withColumn("__gone", F.array_sort("__gone"))
+    kept = kept_lines(clear.filter(F.col(id).isNotNull()), threshold, id, text)
+    kept = kept.groupBy(F.col("id").alias("__id")).agg(F.collect_list("pos").alias("__kept"))
     at = F.split(F.col(text), "\n")
-    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(at) - 1), F.col("__gone")), lambda i: F.get(at, i)), "\n")
-    return clear.join(gone, F.col(id) == F.col("__id"), "left").withColumns({
+    blank = F.filter(F.sequence(F.lit(0), F.size(at) - 1), lambda i: F.btrim(F.get(at, i), F.lit(BLANK_CHARS)) == "")
+    found = clear.join(kept, F.col(id) == F.col("__id"), "left").withColumn("__kept", F.coalesce("__kept", F.array().cast("array<int>")))
+    # rows that repeat an id can have fewer lines than its places
+    placed = found.withColumn("__at", F.filter(F.array_sort(F.array_union(blank, "__kept")), lambda i: i < F.size(at)))
+    gone = F.when(F.col(id).isNull() | F.col(text).isNull(), F.lit(0)).otherwise(F.size(at) - F.size("__at"))
+    left = F.array_join(F.transform("__at", lambda i: F.get(at, i)), "\n")
+    return placed.withColumns({
         "n_lines": F.coalesce(F.size(at), F.lit(0)).cast("long"),
-        "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
-        text: F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left),
-    }).drop("__id", "__gone")
-
+        "n_removed": gone.cast("long"),
+        text: F.when(gone == 0, F.col(text)).otherwise(left),
+    }).drop("__id", "__kept", "__at")

@@ -274,7 +274,7 @@ def brute_lines(rows):
         for line in (r.text or "").split("\n"):
             s = frozenset(split_words(line))
             hit = False
-            if len(s) >= line_dedup.MIN_WORDS:
+            if s:
                 hit = any(len(s & o) / len(s | o) >= 0.8 for o in seen)
                 seen.append(s)
             if hit:
