@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,8 +102,25 @@ def n_words(text: Column) -> Column:
 
 
 def small(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows; looks at no more than one row beyond."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether df has at most so many rows; a stored() table is counted by its files, of others no more than one row beyond is looked at."""
+    return (df if hasattr(df, "_stored_at") else df.limit(rows + 1)).count() <= rows
+
+
+@contextmanager
+def session_value(row: DataFrame) -> Iterator[Column]:
+    """The only value of row, as a session variable: plans take it as a constant and don't print it.
+
+    Frames made inside keep the value after the variable is gone.
+    """
+    spark, name = row.sparkSession, f"sheafline_{uuid.uuid4().hex}"
+    spark.sql(f"DECLARE VARIABLE {name} {row.schema[0].dataType.simpleString()}")
+    row.createOrReplaceTempView(name)
+    try:
+        spark.sql(f"SET VAR {name} = (SELECT * FROM {name})")
+        yield F.expr(name)
+    finally:
+        spark.catalog.dropTempView(name)
+        spark.sql(f"DROP TEMPORARY VARIABLE {name}")
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int = 100_000) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
+
+#: Paths shrink by half in a round, so this is beyond any table.
+MOST_ROUNDS = 200
 
 
 def connected_components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -15,26 +18,31 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
     label of that label, so paths shrink by half at least; each round is a
     table in the shared folder, so a lost executor costs one round at most.
     Only linked nodes take part.  No null nodes; loops and repeated links are
-    harmless.  An empty table gives an empty result.
+    harmless.  An empty table gives an empty result.  What is returned is a
+    stored() table; those of earlier rounds are deleted.
     """
     edges = stored(
         links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
         .select("e.a", "e.b").distinct(),
         f"{name}-links",
     )
-    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-0")
-    for k in range(1, 1000):
+    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), f"{name}-0")
+    for k in range(1, MOST_ROUNDS):
         near = (
             edges.join(labels.withColumnRenamed("node", "a"), "a")
-            .groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
+            .groupBy(F.col("b").alias("node")).agg(F.min("component").alias("near"))
         )
-        lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
-        of_low = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
+        lower = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("low"))
+        of_low = labels.select(F.col("node").alias("low"), F.col("component").alias("jump"))
         after = stored(
-            lower.join(of_low, "low").select("node", F.least("low", "jump").alias("label"), (F.least("low", "jump") < F.col("label")).alias("moved")),
+            lower.join(of_low, "low").select("node", F.least("low", "jump").alias("component"), (F.least("low", "jump") < F.col("component")).alias("moved")),
             f"{name}-{k}",
         )
-        labels = after.select("node", "label")
-        if after.filter("moved").isEmpty():
-            break
-    return labels.withColumnRenamed("label", "component")
+        still = after.filter("moved").isEmpty()
+        release(labels)
+        labels = after.select("node", "component")
+        labels._stored_at = after._stored_at
+        if still:
+            release(edges)
+            return labels
+    raise RuntimeError(f"components didn't settle in {MOST_ROUNDS} rounds")

@@ -9,69 +9,24 @@ line stands before it, in a document with a smaller id or above it.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from .common import BLANK_CHARS, BLANKS, release, stored, words
+from .common import BLANK_CHARS, join_checked, release, small_batches, stored, words
+from .setjoin import MOST_SENT, first_met, index_only, larger_first, later, later_first, postings, room, side
+from .rarity import rarity, sets_of
+from .wordsets import all_words
 
 THRESHOLD = 0.8
-#: Hash buckets in which words are counted, for their order by rarity.
-COUNT_BUCKETS = 1 << 20
-#: The class of a word that stands once in the corpus, so no two lines share it.
-UNSHARED = 5
-#: The rarest words of a line by which it meets the first line that has them.
-RAREST = 3
-#: Places of lines (two numbers each) that are broadcast at most.
-MOST_SENT = 1_000_000
 
 
-def rarity(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row with `classes`, array<tinyint>: for each hash bucket of words about 1 + 4 * log2(1 + its words in all texts).
-
-    The order of words by (class, hash) is one order for all lines whatever the
-    counts, so results don't depend on buckets.  There are COUNT_BUCKETS bytes for any corpus.
-    """
-    said = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), BLANKS)).alias("w"))
-    counted = said.select(_bucket(F.xxhash64("w")).alias("k"), F.lit(1).cast("long").alias("n"))
-    every = docs.sparkSession.range(COUNT_BUCKETS).select(F.col("id").cast("int").alias("k"), F.lit(0).cast("long").alias("n"))
-    counts = counted.unionAll(every).groupBy("k").agg(F.sum("n").alias("n"))
-    of = (F.least(F.lit(120), F.floor(4 * F.log2(F.col("n") + 1))) + 1).cast("tinyint")
-    parts = counts.groupBy(F.shiftright("k", 10).alias("part")).agg(F.array_sort(F.collect_list(F.struct("k", of.alias("c"))))["c"].alias("cs"))
-    return parts.agg(F.flatten(F.array_sort(F.collect_list(F.struct("part", "cs")))["cs"]).alias("classes"))
-
-
-def _bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(COUNT_BUCKETS - 1)).cast("int")
-
-
-@contextmanager
-def _variable(row: DataFrame) -> Iterator[Column]:
-    """The only value of row as a session variable: plans refer to it without printing a megabyte."""
-    spark, name = row.sparkSession, f"sheafline_{uuid.uuid4().hex}"
-    spark.sql(f"DECLARE VARIABLE {name} {row.schema[0].dataType.simpleString()}")
-    row.createOrReplaceTempView(name)
-    try:
-        spark.sql(f"SET VAR {name} = (SELECT * FROM {name})")
-        yield F.expr(name)
-    finally:
-        spark.catalog.dropTempView(name)
-        spark.sql(f"DROP TEMPORARY VARIABLE {name}")
-
-
-def prefix_length(n: Column, threshold: float) -> Column:
-    return n - F.ceil(n * threshold - 1e-9) + 1
-
-
-def needed(a: Column, b: Column, threshold: float) -> Column:
-    """Words that sets of so many words have to share."""
-    return F.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9)
-
-
-def line_sets(docs: DataFrame, classes: Column, threshold: float, id: str, text: str) -> DataFrame:
+def line_sets(docs: DataFrame, classes: Any, threshold: float, id: str, text: str) -> DataFrame:
     """(id, pos, n, h, g, bits, prefix) of every line with a word.
 
     Words are 8 bits of rarity and 56 of hash, h and g 128 bits of hash of the
@@ -81,82 +36,46 @@ def line_sets(docs: DataFrame, classes: Column, threshold: float, id: str, text:
     small to be similar to any but an equal one (of up to three words at 0.8)
     have no prefix: their class settles them.
     """
-    lines = docs.select(F.col(id).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line"))
-    clear = lines.select("id", "pos", F.btrim("line", F.lit(BLANK_CHARS)).alias("line")).filter("line <> ''")
-
-    def rare_first(word: Column) -> Column:
-        h = F.xxhash64(word)
-        return F.shiftleft(F.coalesce(F.get(classes, _bucket(h)), F.lit(0)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-
-    sets = clear.select("id", "pos", F.array_distinct(F.sort_array(F.transform(F.split("line", BLANKS), rare_first))).alias("k"))
-    n = F.size("k")
-    joins = n * (1 - threshold) >= threshold - 1e-9
-    return sets.select(
-        "id", "pos", n.alias("n"), F.xxhash64("k").alias("h"), F.xxhash64(F.lit(1), "k").alias("g"),
-        F.expr("aggregate(k, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63L as int)))").alias("bits"),
-        F.slice("k", F.lit(1), F.when(joins, prefix_length(n, threshold)).otherwise(0).cast("int")).alias("prefix"),
-    ).withColumn("prefix", F.filter("prefix", lambda x: x >= F.lit((UNSHARED + 1) << 56)))
-
-
-def postings(classes: DataFrame, threshold: float) -> DataFrame:
-    """(t, part, id, pos, n, bits, i, k) for each word of a prefix.
-
-    i is its place in the ordered set, k in the prefix; part is the length
-    partition of the set: similar sets are in the same or in neighbouring ones.
-    """
-    unshared = prefix_length(F.col("n"), threshold) - F.size("prefix")  # they stand first
-    part = F.floor(F.log("n") / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
-    return classes.select("id", "pos", "n", "bits", part.alias("part"), unshared.alias("u"), F.posexplode("prefix").alias("k", "t")).select(
-        "t", "part", "id", "pos", "n", "bits", (F.col("u") + F.col("k")).cast("int").alias("i"), "k"
-    )
-
-
-def _room(threshold: float) -> Column:
-    """Length, positional and bitmap filters of x and y (n, i, bits)."""
-    n, m = F.col("x_n"), F.col("y_n")
-    share = needed(n, m, threshold)
-    return (
-        (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (F.least(n - F.col("x_i"), m - F.col("y_i")) >= share)
-        & (F.bit_count(F.col("x_bits").bitwiseXOR(F.col("y_bits"))) <= n + m - 2 * share)
-    )
+    signed = lambda x: pa.array(x.view(np.int64))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(classes.value, np.uint8)
+        for batch in batches:
+            w = all_words(batch.column(1))
+            first, n, h, g, bits, ends, prefix = sets_of(w, table, threshold)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), signed(prefix))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(pa.array(w.row[first])), pa.array(w.pos[first], pa.int32()), pa.array(n, pa.int32()), signed(h), signed(g), signed(bits), lists,
+            ], ["id", "pos", "n", "h", "g", "bits", "prefix"])
 
-def _named(frame: DataFrame, side: str, *others: Column | str) -> DataFrame:
-    return frame.select(*others, *[F.col(c).alias(f"{side}_{c}") for c in ("id", "pos", "n", "bits", "i")])
+    schema = StructType().add("id", docs.schema[id].dataType).add("pos", IntegerType()).add("n", IntegerType())
+    schema = schema.add("h", LongType()).add("g", LongType()).add("bits", LongType()).add("prefix", ArrayType(LongType()))
+    return docs.select(F.col(id).alias("id"), text).mapInArrow(run, schema)
 
 
 def matched_classes(docs: DataFrame, classes: DataFrame, threshold: float, id: str, text: str) -> DataFrame:
     """(id, pos) of the first line of every class to which a similar class begins before it.
 
-    A line is first compared with the earliest line that has one of its
-    rarest words: this settles nearly all members of a large group in
-    proportion to their number.  Then all pairs are sought that share a prefix
-    word and of which the later line isn't settled.
+    Lines are first compared with the earliest ones that have their rarest
+    words.  Then all pairs are sought that share a prefix word and of which the
+    later line isn't settled: larger unsettled lines meet all, and settled ones
+    only the smaller unsettled lines that have their words.
     """
-    places = ["x_id", "x_pos", "y_id", "y_pos"]
-    later = F.struct("x_id", "x_pos") > F.struct("y_id", "y_pos")
-    posted = postings(classes, threshold)
-
-    rarest = posted.filter(F.col("k") < RAREST)
-    earliest = rarest.groupBy("t", "part").agg(F.min("id").alias("y_id"), *[F.min_by(c, "id").alias(f"y_{c}") for c in ("pos", "n", "bits", "i")])
-    met = _named(rarest, "x", "t", "part").join(earliest, ["t", "part"]).filter(later & _room(threshold))
-    settled = _verified(docs, met.select(*places), threshold, id, text)
-
-    flagged = posted.join(
-        F.broadcast(settled) if settled.count() <= MOST_SENT else settled, ["id", "pos"], "left"
-    ).withColumn("settled", F.coalesce("settled", F.lit(False)))
-    # a smaller or equal set of a pair shares a word within an even shorter prefix
-    short = F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1
-    large = _named(flagged, "x", "t", F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), F.col("settled").alias("x_settled"))
-    small = _named(flagged.filter(F.col("i") < short), "y", "t", "part", F.col("settled").alias("y_settled"))
-    once = (F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & later)
-    open_ = F.when(later, ~F.col("x_settled")).otherwise(~F.col("y_settled"))
-    pairs = large.join(small, ["t", "part"]).filter(once & open_ & _room(threshold))
-    both = [F.struct(F.col(f"{s}_id").alias("id"), F.col(f"{s}_pos").alias("pos")) for s in "xy"]
-    ordered = pairs.select(F.greatest(*both).alias("x"), F.least(*both).alias("y")).select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("id", "pos")])
-    rest = _verified(docs, ordered, threshold, id, text)
+    at = ["id", "pos"]
+    posted = postings(classes, threshold, at)
+    settled = _verified(docs, first_met(posted, threshold, at), threshold, id, text)
+
+    few = settled.count() <= MOST_SENT
+    flagged = posted.join(F.broadcast(settled) if few else settled, at, "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    large = side(flagged, "x", at, F.col("settled").alias("x_settled"))
+    small = side(index_only(flagged, threshold), "y", at, F.col("settled").alias("y_settled"))
+    open_ = larger_first(at) & room(threshold) & F.when(later(at), ~F.col("x_settled")).otherwise(~F.col("y_settled"))
+    words_settled = stored(flagged.filter("settled").select("t").distinct(), "line-settled-words")
+    of_settled = join_checked(small.filter("not y_settled"), words_settled, ["t"], "left_semi", MOST_SENT)
+    pairs = large.filter("not x_settled").join(small, "t").filter(open_).unionByName(large.filter("x_settled").join(of_settled, "t").filter(open_))
+    rest = _verified(docs, later_first(pairs, at), threshold, id, text)
     out = stored(settled.unionByName(rest).select("id", "pos").distinct(), "line-matched")
-    release(settled, rest)
+    release(settled, rest, words_settled)
     return out
 
 
@@ -168,11 +87,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float, id: str, text
     wanted = stored(wanted.withColumnRenamed("id", "__id"), "line-wanted")
     # narrow rows: sent to all tasks if counted to be few, so that texts stay where they are
     few = 2 * kept.count() <= MOST_SENT
-    of = docs.join(F.broadcast(wanted) if few else wanted, F.col(id) == F.col("__id"))
-    lines = of.select(F.col("__id").alias("id"), F.split(text, "\n").alias("lines"), F.explode("at").alias("pos"))
+    chosen = docs.join(F.broadcast(wanted) if few else wanted, F.col(id) == F.col("__id"))
+    lines = chosen.select(F.col("__id").alias("id"), F.split(text, "\n").alias("lines"), F.explode("at").alias("pos"))
     sets = stored(lines.select("id", "pos", F.array_distinct(words(F.get("lines", F.col("pos")))).alias("w")), "line-words")
-    side = lambda s: sets.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "pos", "w")])
-    both = kept.join(side("x"), ["x_id", "x_pos"]).join(side("y"), ["y_id", "y_pos"])
+    of = lambda s: sets.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "pos", "w")])
+    both = kept.join(of("x"), ["x_id", "x_pos"]).join(of("y"), ["y_id", "y_pos"])
     shared = F.size(F.array_intersect("x_w", "y_w"))
     jaccard = shared / (F.size("x_w") + F.size("y_w") - shared)
     similar = both.filter(jaccard >= threshold - 1e-12).select(F.col("x_id").alias("id"), F.col("x_pos").alias("pos")).distinct()
@@ -186,8 +105,10 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id"
 
     Lines of equal sets of words are one class, of which only the first can stay.
     """
-    with _variable(rarity(docs, text)) as table:
-        lines = stored(line_sets(docs, table, threshold, id, text), "line-sets")
+    small_batches(docs.sparkSession)
+    table = docs.sparkSession.sparkContext.broadcast(rarity(docs, text))  # of a fixed size
+    lines = stored(line_sets(docs, table, threshold, id, text), "line-sets")
+    table.destroy()
     first = F.min(F.struct("id", "pos", "n", "bits", "prefix")).alias("first")
     classes = stored(lines.groupBy("h", "g").agg(first).select("first.*"), "line-classes")
     release(lines)

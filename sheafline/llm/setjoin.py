@@ -1,42 +1,129 @@
-"""Exact Jaccard join of sets of integers with prefix, positional and length filters."""
+"""Parts of exact Jaccard joins with prefix, positional, length and bitmap filters.
+
+A set is a row with the columns `at` that name it, n (its size), bits (a
+bitmap of the parities of its items, see parity()) and prefix: those of its
+first items that can be shared, in an order by rarity that is one for all sets.
+What can't be shared comes first in that order and needn't be in the prefix.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import join_checked, release, stored
+from .components import connected_components
 
+#: The rarest items of a set by which it meets the first set that has them.
+RAREST = 3
+#: Narrow rows that are broadcast at most.
+MOST_SENT = 1_000_000
 
-def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """sets(id, items array<long> distinct) -> (a, b, likeness) with likeness >= threshold, a < b.
 
-    Items are ordered by how many sets have them.  Sets fall into partitions by
-    length, so wide that a pair's are the same or next to each other; a set is
-    sought in its own and the lower one.  Empty sets have no pairs.  Ids must
-    be unique and not null.
-    """
-    own = stored(sets.filter(F.size("items") > 0).select("id", "items", F.size("items").alias("n")), "set-items")
-    flat = own.select("id", "n", F.explode("items").alias("item"))
-    often = flat.groupBy("item").agg(F.count("*").alias("f")).filter("f > 1")  # others can't be shared
-    ranked = flat.join(often, "item").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "item"))).alias("by"))
-    # an item's place among all items of the set: unshared ones come first
-    first = F.col("n") - F.size("by")
-    part = F.floor(F.log("n") / F.log(F.lit(1 / threshold)) + 1e-9)
-    posted = stored(
-        ranked.select("id", "n", part.alias("part"), first.alias("first"), F.posexplode("by").alias("k", "s"))
-        .select("id", "n", "part", F.col("s.item").alias("item"), (F.col("first") + F.col("k")).alias("i")), "set-postings"
+def prefix_length(n: Column, threshold: float) -> Column:
+    return n - F.ceil(n * threshold - 1e-9) + 1
+
+
+def needed(a: Column, b: Column, threshold: float) -> Column:
+    """Items that sets of so many have to share."""
+    return F.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9)
+
+
+def parity(items: str) -> Column:
+    """64 bits: whether an odd number of items (long) falls on each.  Two sets differ in at least as many items as in bits."""
+    return F.expr(f"aggregate({items}, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63L as int)))")
+
+
+def postings(sets: DataFrame, threshold: float, at: list[str]) -> DataFrame:
+    """(t, *at, n, bits, i, k) for each item t of a prefix: i is its place in the ordered set, k in the prefix."""
+    unshared = prefix_length(F.col("n"), threshold) - F.size("prefix")  # they stand first
+    return sets.select(*at, "n", "bits", unshared.alias("u"), F.posexplode("prefix").alias("k", "t")).select(
+        "t", *at, "n", "bits", (F.col("u") + F.col("k")).cast("int").alias("i"), "k"
     )
-    probe = posted.filter(F.col("i") < F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-    index = posted.filter(F.col("i") < F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1)
-    x = probe.select("item", F.explode(F.array("part", F.col("part") - 1)).alias("part"), F.struct("n", "id", "i").alias("x"))
-    y = index.select("item", "part", F.struct("n", "id", "i").alias("y"))
-    n, m = F.col("x.n"), F.col("y.n")
-    share = F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
-    ok = (F.struct("y.n", "y.id") < F.struct("x.n", "x.id")) & (m >= n * threshold - 1e-9) & (F.least(n - F.col("x.i"), m - F.col("y.i")) >= share)
-    pairs = x.join(y, ["item", "part"]).filter(ok).select(F.col("x.id").alias("p"), F.col("y.id").alias("q")).distinct()
-    side = lambda s: own.select(F.col("id").alias(s), F.col("items").alias(f"{s}_items"))
-    both = pairs.join(side("p"), "p").join(side("q"), "q")
-    shared = F.size(F.array_intersect("p_items", "q_items"))
-    likeness = shared / (F.size("p_items") + F.size("q_items") - shared)
-    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), likeness.alias("likeness")).filter(F.col("likeness") >= threshold - 1e-12)
+
+
+def room(threshold: float) -> Column:
+    """Length, positional and bitmap filters of x and y (n, i, bits)."""
+    n, m = F.col("x_n"), F.col("y_n")
+    share = needed(n, m, threshold)
+    return (
+        (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (F.least(n - F.col("x_i"), m - F.col("y_i")) >= share)
+        & (F.bit_count(F.col("x_bits").bitwiseXOR(F.col("y_bits"))) <= n + m - 2 * share)
+    )
+
+
+def side(frame: DataFrame, name: str, at: list[str], *others: Column | str) -> DataFrame:
+    return frame.select("t", *others, *[F.col(c).alias(f"{name}_{c}") for c in (*at, "n", "bits", "i")])
+
+
+def later(at: list[str]) -> Column:
+    return F.struct(*[f"x_{c}" for c in at]) > F.struct(*[f"y_{c}" for c in at])
+
+
+def places(at: list[str]) -> list[str]:
+    return [f"{s}_{c}" for s in "xy" for c in at]
+
+
+def earliest(posted: DataFrame, at: list[str]) -> DataFrame:
+    """(t, y_...) of a posting with the least at[0] for each item t: nothing but numbers is kept while rows are read."""
+    return posted.groupBy("t").agg(F.min(at[0]).alias(f"y_{at[0]}"), *[F.min_by(c, at[0]).alias(f"y_{c}") for c in (*at[1:], "n", "bits", "i")])
+
+
+def first_met(posted: DataFrame, threshold: float, at: list[str]) -> DataFrame:
+    """Pairs (x after y) of a set and the earliest set that has one of its rarest items, RAREST for each set at most.
+
+    This settles nearly all members of a large group in proportion to their number.
+    """
+    rarest = posted.filter(F.col("k") < RAREST)
+    met = side(rarest, "x", at).join(earliest(rarest, at), "t")
+    return met.filter(later(at) & room(threshold)).select(*places(at))
+
+
+def index_only(posted: DataFrame, threshold: float) -> DataFrame:
+    """The postings by which the smaller or equal set of a pair is found: an even shorter prefix."""
+    return posted.filter(F.col("i") < F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1)
+
+
+def larger_first(at: list[str]) -> Column:
+    """x is the larger set, or the later one of equal ones."""
+    return (F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & later(at))
+
+
+def later_first(pairs: DataFrame, at: list[str]) -> DataFrame:
+    both = [F.struct(*[F.col(f"{s}_{c}").alias(c) for c in at]) for s in "xy"]
+    return pairs.select(F.greatest(*both).alias("x"), F.least(*both).alias("y")).select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in at])
+
+
+def linked(sets: DataFrame, similar: Callable[[DataFrame], DataFrame], threshold: float, known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that connect all sets(id, n, bits, prefix) which chains of similar sets connect.
+
+    `similar` keeps those pairs (x_id, y_id) that reach the threshold and may
+    get pairs repeatedly; `known` are pairs worth asking first.  Sets that are
+    met first are asked next; then all pairs that share a prefix item and are
+    not connected yet.  Of the postings of an item those in the component of its
+    earliest set needn't be paired with each other, so a large group costs as
+    much as its members and not as their pairs.
+    """
+    at = ["id"]
+    posted = postings(sets, threshold, at)
+    asked = first_met(posted, threshold, at)
+    near = similar(asked if known is None else asked.unionByName(known))
+    parts = connected_components(near.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")), "set-parts")
+
+    part_of = parts.select(F.col("node").alias("id"), "component")
+    labelled = join_checked(posted, part_of, ["id"], "left", MOST_SENT).withColumn("part", F.coalesce("component", "id")).drop("component", "k")
+    labelled = stored(labelled, "set-postings")
+    main = labelled.groupBy("t").agg(F.min_by("part", "id").alias("main"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
+    opened = stored(labelled.join(main.select("t", "main"), "t"), "set-open")
+    outside = opened.filter("part <> main")
+    x = side(outside, "x", at, F.col("part").alias("x_part"))
+    y = side(opened, "y", at, F.col("part").alias("y_part"), (F.col("part") == F.col("main")).alias("y_main"))
+    # of two outsiders each finds the other
+    once = F.col("y_main") | later(at)
+    met = x.join(y, "t").filter((F.col("x_part") != F.col("y_part")) & once & room(threshold))
+    more = similar(later_first(met, at))
+    out = stored(near.unionByName(more).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), "set-links")
+    release(near, more, parts, labelled, opened)
+    return out

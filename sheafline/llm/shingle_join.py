@@ -2,103 +2,82 @@
 
 SimHash links find copies that differ in few bits; a text of similarity 0.8
 differs in about ten, with a spread that no feasible ball covers.  So they
-only settle what is close, and an exact prefix join over the shingles finds
-every other pair.  All links are verified on the shingles' 64-bit hashes.
+only name pairs worth asking first, and an exact prefix join over the shingles
+finds every other pair.  All links are verified on the shingles' 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_checked, release, small_batches, stored
 from .components import connected_components
-from .line_dedup import needed, prefix_length
-from .simhash import bits_of, links, shingle_hashes
+from .rarity import rarity, sets_of
+from .setjoin import MOST_SENT, linked
+from .simhash import bit_majorities, links
+from .wordsets import all_words, shingled
 
 THRESHOLD = 0.8
-#: About how many documents and how many shingles, from which the order by rarity is made; any order finds the same pairs.
-SAMPLE_DOCS, MOST_COMMON = 5_000, 20_000
-#: Ids of candidate texts that are broadcast at most.
-MOST_SENT = 1_000_000
-
-
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The different shingles' hashes, as uint64 in ascending order."""
-    blocks = list(shingle_hashes(text, shingle))
-    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
 
 
 def shingles(text: Column, shingle: int) -> Column:
-    """array<long> of shingle_set()."""
+    """array<long> of the different shingles' hashes, ascending."""
 
     @F.arrow_udf("array<long>")
     def sets(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in texts:
-            yield pa.array([shingle_set(t, shingle).view(np.int64) for t in x.to_pylist()], pa.list_(pa.int64()))
+            w = shingled(all_words(x, lower=True), shingle)
+            by = np.lexsort((w.hash, w.row))
+            h, row = w.hash[by], w.row[by]
+            keep = np.ones(len(h), bool)
+            keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            ends = np.searchsorted(row[keep], np.arange(len(x) + 1))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[keep].view(np.int64)))
 
     return sets(text)
 
 
-def common_shingles(docs: DataFrame, shingle: int, id: str, text: str) -> np.ndarray:
-    """Shingles that stand often in a sample of the documents, as uint64, the rarer ones first."""
-    of = max(1, docs.count() // SAMPLE_DOCS)
-    sample = docs.filter(F.pmod(F.xxhash64(id), F.lit(of)) == 0)
-    counts = sample.select(F.explode(shingles(F.col(text), shingle)).alias("t")).groupBy("t").agg(F.count("*").alias("n")).filter("n > 2")
-    rows = counts.orderBy(F.desc("n"), "t").limit(MOST_COMMON).collect()
-    return np.array([r.t for r in rows[::-1]], np.int64).view(np.uint64)
-
-
-def rare_first(found: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The set in one order for all sets: by hash, and common shingles at the end."""
-    if not len(common):
-        return found
-    order = np.argsort(common)
-    at = np.minimum(np.searchsorted(common, found, sorter=order), len(common) - 1)
-    often = common[order[at]] == found
-    return np.concatenate((found[~often], common[np.sort(order[at[often]])]))
+def set_rows(text: Column, shingle: int, threshold: float, classes: Any) -> Column:
+    """struct(fp, n, h, g, bits, prefix): SimHash and the set of a text's shingles, see sets_of(); all zero without words."""
 
-
-def set_rows(text: Column, shingle: int, threshold: float, common: np.ndarray) -> Column:
-    """struct(fp, n, h, more, prefix): SimHash, size, 128 bits of hash and the first shingles of the set."""
-
-    @F.arrow_udf("struct<fp:long,n:int,h:long,more:long,prefix:array<long>>")
+    @F.arrow_udf("struct<fp:long,n:int,h:long,g:long,bits:long,prefix:array<long>>")
     def rows(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = np.frombuffer(classes.value, np.uint8)
         for x in texts:
-            fps, sizes, hashes, prefixes = [], [], [], []
-            for t in x.to_pylist():
-                blocks = list(shingle_hashes(t, shingle))
-                u = np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
-                first = len(u) - int(np.ceil(len(u) * threshold - 1e-9)) + 1 if len(u) else 0
-                fps.append(bits_of(blocks))
-                sizes.append(len(u))
-                hashes.append(xxhash.xxh3_128_digest(u.tobytes()))
-                prefixes.append(rare_first(u, common)[:first].view(np.int64).copy())
-            both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            columns = [
-                pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()),
-                pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(prefixes, pa.list_(pa.int64())),
-            ]
-            yield pa.StructArray.from_arrays(columns, ["fp", "n", "h", "more", "prefix"])
+            w = shingled(all_words(x, lower=True), shingle)
+            first, n, h, g, bits, ends, prefix = sets_of(w, table, threshold)
+            row = w.row[first]
+            columns = []
+            for values in (bit_majorities(w.hash, first), n, h, g, bits):
+                of = np.zeros(len(x), np.int64)
+                of[row] = values.view(np.int64)
+                columns.append(pa.array(of))
+            length = np.zeros(len(x) + 1, np.int64)
+            length[row + 1] = np.diff(ends, prepend=0)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(length), pa.int32()), pa.array(prefix.view(np.int64)))
+            columns[1] = columns[1].cast(pa.int32())
+            yield pa.StructArray.from_arrays([*columns, lists], ["fp", "n", "h", "g", "bits", "prefix"])
 
     return rows(text)
 
 
 def similar_texts(docs: DataFrame, pairs: DataFrame, threshold: float, shingle: int, id: str, text: str) -> DataFrame:
-    """The pairs(a, b) of ids whose texts reach the threshold."""
+    """The pairs (x_id, y_id) of ids whose texts reach the threshold."""
     kept = stored(pairs.distinct(), "text-candidates")
-    wanted = stored(kept.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "text-wanted")
+    wanted = stored(kept.select(F.explode(F.array("x_id", "y_id")).alias("id")).distinct(), "text-wanted")
     of_wanted = join_checked(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), wanted, ["id"], rows=MOST_SENT)
     sets = stored(of_wanted.select("id", shingles(F.col("text"), shingle).alias("items")), "text-sets")
-    side = lambda s: sets.select(F.col("id").alias(s), F.col("items").alias(f"{s}_items"))
-    shared = F.size(F.array_intersect("a_items", "b_items"))
-    likeness = shared / (F.size("a_items") + F.size("b_items") - shared)
-    out = stored(kept.join(side("a"), "a").join(side("b"), "b").filter(likeness >= threshold - 1e-12).select("a", "b").distinct(), "text-similar")
+    side = lambda s: sets.select(F.col("id").alias(f"{s}_id"), F.col("items").alias(f"{s}_items"))
+    shared = F.size(F.array_intersect("x_items", "y_items"))
+    likeness = shared / (F.size("x_items") + F.size("y_items") - shared)
+    both = kept.join(side("x"), "x_id").join(side("y"), "y_id")
+    out = stored(both.filter(likeness >= threshold - 1e-12).select("x_id", "y_id").distinct(), "text-similar")
     release(kept, wanted, sets)
     return out
 
@@ -107,51 +86,34 @@ def near_texts(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = 5,
     """(id, component_id) of every row of docs with an id, over links of texts with Jaccard >= threshold.
 
     component_id is the smallest id that can be reached.  Texts of equal
-    shingles are linked, those without words too.  Words are lower-cased (A-Z)
-    and shingles made as in simhash.  No pair is missed that isn't in one
-    component anyway: a text is compared with texts of near fingerprints and
-    with the first one of each prefix shingle, and then all pairs are sought
-    whose components still differ.
+    shingles are linked, those without words too.  A-Z are lower-cased, words
+    are runs without ASCII blanks, and a text of fewer words than a shingle is
+    one.  No pair is missed that isn't in one component anyway: a text is
+    compared with texts of near fingerprints (three differing bits) and with
+    the first ones that have its rarest shingles, and then all pairs are sought
+    that share a prefix shingle and aren't connected.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     known = docs.filter(F.col(id).isNotNull())
-    common = common_shingles(known, shingle, id, text)
-    own = stored(known.select(F.col(id).alias("id"), set_rows(F.col(text), shingle, threshold, common).alias("s")).select("id", "s.*"), "text-rows")
-    classes = stored(own.groupBy("h", "more").agg(F.min(F.struct("id", "fp", "n", "prefix")).alias("x")).select("h", "more", "x.*"), "text-classes")
-    # most shingles stand in one text and can't be shared
-    all_posted = classes.select("id", "n", F.posexplode("prefix").alias("i", "t"))
-    shared = all_posted.groupBy("t").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("t")
-    posted = stored(join_checked(all_posted, stored(shared, "text-shared"), ["t"]), "text-postings")
-    room = lambda n, m, i, j: (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (F.least(n - i, m - j) >= needed(n, m, threshold))
-    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    # near fingerprints, and the first text of each prefix shingle
+    table = spark.sparkContext.broadcast(rarity(known, text, shingle))  # of a fixed size
+    own = stored(known.select(F.col(id).alias("id"), set_rows(F.col(text), shingle, threshold, table).alias("s")).select("id", "s.*"), "text-rows")
+    table.destroy()
+    first = F.min(F.struct("id", "fp", "bits", "prefix")).alias("x")
+    classes = stored(own.groupBy("h", "g", "n").agg(first).select("h", "g", "n", "x.*"), "text-classes")
+    rows = stored(own.select("id", "h", "g", "n"), "text-keys")
+    release(own)
+
     prints = stored(classes.groupBy("fp").agg(F.min("id").alias("least")), "text-prints")
+    pair = lambda a, b: [F.greatest(a, b).alias("x_id"), F.least(a, b).alias("y_id")]
     same = classes.join(prints, "fp").filter(F.col("id") != F.col("least")).select(*pair("id", "least"))
     of = lambda s: prints.select(F.col("fp").alias(s), F.col("least").alias(f"{s}_id"))
     close = links(prints, "fp", 3).distinct().join(of("a"), "a").join(of("b"), "b").select(*pair("a_id", "b_id"))
-    first = posted.groupBy("t").agg(F.min(F.struct("id", "n", "i")).alias("y"))
-    led = posted.join(first, "t").filter((F.col("id") != F.col("y.id")) & room(F.col("n"), F.col("y.n"), F.col("i"), F.col("y.i"))).select(*pair("id", "y.id"))
-    near = similar_texts(known, same.unionByName(close).unionByName(led).filter("a <> b"), threshold, shingle, id, text)
-    part = stored(connected_components(near), "text-parts")
-
-    # all other pairs of different components that share a prefix shingle
-    labelled = stored(posted.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component"), "text-labelled")
-    open_ = labelled.groupBy("t").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("t")
-    rest = stored(labelled.join(open_, "t", "left_semi"), "text-open")
-    row = lambda s: ["t", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "part")]]
-    x_n, y_n = F.col("x_n"), F.col("y_n")
-    once = (y_n < x_n) | ((y_n == x_n) & (F.col("y_id") < F.col("x_id")))
-    ok = (y_n >= threshold * x_n - 1e-9) & once & (F.col("x_part") != F.col("y_part"))
-    met = rest.select(*row("x")).join(rest.select(*row("y")), "t").filter(ok)
-    # what two sets share up to where one of the prefixes ends is in both prefixes; the rest is beyond that set's prefix
-    beyond = F.greatest(x_n - prefix_length(x_n, threshold), y_n - prefix_length(y_n, threshold))
-    counted = met.groupBy("x_id", "x_n", "y_id", "y_n").agg(F.count("*").alias("c")).filter(F.col("c") + beyond >= needed(x_n, y_n, threshold))
-    found = counted.select(*pair("x_id", "y_id"))
-    more = similar_texts(known, found, threshold, shingle, id, text)
-
-    parts = connected_components(near.unionByName(more), "text-components")
-    of_class = classes.select("h", "more", F.col("id").alias("node")).join(parts, "node", "left").select("h", "more", F.coalesce("component", "node").alias("component_id"))
-    out = stored(own.select("id", "h", "more").join(of_class, ["h", "more"]).select(F.col("id").alias(id), "component_id"), "text-groups")
-    release(own, classes, posted, prints, near, part, labelled, rest, more)
+    similar = lambda pairs: similar_texts(known, pairs, threshold, shingle, id, text)
+    found = linked(classes.select("id", "n", "bits", "prefix"), similar, threshold, same.unionByName(close))
+
+    parts = connected_components(found, "text-components")
+    of_class = classes.select("h", "g", "n", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("h", "g", "n", F.coalesce("component", "id").alias("component_id"))
+    out = stored(rows.join(of_class, ["h", "g", "n"]).select(F.col("id").alias(id), "component_id"), "text-groups")
+    release(classes, rows, prints, found, parts)
     return out

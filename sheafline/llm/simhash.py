@@ -48,6 +48,26 @@ def bits_of(hashes: Iterable[np.ndarray]) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def bit_majorities(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The fingerprint (uint64) of each run of hashes that begins at `first`."""
+    size = np.diff(first, append=len(hashes))
+    ones = np.zeros((len(first), 64), np.int64)
+    at = 0
+    while at < len(first):  # runs of about BLOCK hashes in all, or a longer one in pieces
+        to = max(at + 1, int(np.searchsorted(first, first[at] + BLOCK, "right")) - 1) if first[-1] > first[at] + BLOCK else len(first)
+        end = first[to] if to < len(first) else len(hashes)
+        if end - first[at] <= 2 * BLOCK:
+            bits = np.unpackbits(hashes[first[at] : end].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[at:to] = np.add.reduceat(bits, first[at:to] - first[at], axis=0, dtype=np.int64)
+        else:
+            for k in range(at, to):
+                for s in range(first[k], first[k] + size[k], BLOCK):
+                    piece = hashes[s : min(s + BLOCK, first[k] + size[k])]
+                    ones[k] += np.unpackbits(piece.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        at = to
+    return np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8").reshape(-1).astype(np.uint64)
+
+
 def fingerprint_of(text: str | None, shingle: int) -> int:
     """The fingerprint as an unsigned integer; texts without words have 0."""
     return bits_of(shingle_hashes(text, shingle))

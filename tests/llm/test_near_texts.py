@@ -7,7 +7,7 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 pipeline = pytest.importorskip("corpus_pipeline")
 
-from sheafline.llm import shingle_join, simhash  # noqa: E402
+from sheafline.llm import setjoin, shingle_join, simhash  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -58,9 +58,9 @@ def edited_texts():
     return dict(enumerate(out))
 
 
-@pytest.mark.parametrize("common", [0, 20_000])
-def test_all_near_texts_are_found(spark, monkeypatch, common):
-    monkeypatch.setattr(shingle_join, "MOST_COMMON", common)
+@pytest.mark.parametrize("rarest", [0, 3])
+def test_all_near_texts_are_found(spark, monkeypatch, rarest):
+    monkeypatch.setattr(setjoin, "RAREST", rarest)
     texts = edited_texts()
     want, linked = brute_components(texts)
     docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in texts.items()], DOCS)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
-from sheafline.llm import bpe, chunks, components, host_rules, line_dedup, mixing, quality, setjoin, sharding, simhash, spotsigs, token_counts, url_filter  # noqa: E402
+from sheafline.llm import bpe, chunks, common, components, host_rules, line_dedup, mixing, quality, setjoin, sharding, simhash, spotsigs, token_counts, url_filter  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 DATA = "/root/testdata/sf0.001"
@@ -178,6 +178,8 @@ def brute_signatures(text):
                 out.add((a or "", *content[seen : seen + 2]))
         else:
             seen += 1
+    if (len(words) - len(content)) * spotsigs.SPARSE < len(content):
+        out |= {("", *content[k : k + 2]) for k in range(len(content))}
     return out
 
 
@@ -206,30 +208,77 @@ def test_spotsigs_odd(spark):
     assert spotsigs.compare_edited(mixed.unionByName(mixed)).count() == 2 * len(ODD)
 
 
-def test_spotsigs_near_duplicates(spark):
-    docs = docs_of(spark)
-    sigs = {r.doc_id: brute_signatures(r.text) for r in docs.collect()}
-    reps = {}
+def components_of(nodes, links):
+    root = {i: i for i in nodes}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in links:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    return {i: find(i) for i in nodes}
+
+
+@pytest.mark.parametrize("rarest", [0, 3])
+def test_spotsigs_near_duplicates(spark, monkeypatch, rarest):
+    monkeypatch.setattr(setjoin, "RAREST", rarest)
+    docs = docs_of(spark).unionByName(odd_docs(spark).withColumn("doc_id", F.col("doc_id") - 100))
+    sigs = {r.doc_id: frozenset(brute_signatures(r.text)) for r in docs.collect()}
+    first = {}
     for i in sorted(sigs):
-        reps.setdefault(frozenset(sigs[i]), i)
-    links = Counter()
-    for s, i in reps.items():
-        for t, j in reps.items():
-            if i != j and s and t and len(s & t) / len(s | t) >= 0.6:
-                links[i] += 1
-    for r in spotsigs.near_duplicates(docs, 0.6).collect():
-        rep = reps[frozenset(sigs[r.doc_id])]
-        assert (r.class_id, r.n_links) == (rep, links[rep])
-
-
-def test_set_join(spark):
+        first.setdefault(sigs[i], i)
+    reps = sorted(first.items(), key=lambda x: x[1])
+    pairs = [(i, j) for s, i in reps for t, j in reps if i < j and s and t and len(s & t) / len(s | t) >= 0.5]
+    want = components_of(first.values(), pairs)
+    assert pairs
+    got = {r.doc_id: (r.class_id, r.component_id) for r in spotsigs.near_duplicates(docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long"))), 0.5).collect()}
+    assert got == {i: (first[s], want[first[s]]) for i, s in sigs.items()}
+    assert spotsigs.near_duplicates(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rows", [3, 40])
+def test_next_document_for_any_ids(spark, monkeypatch, rows):
+    monkeypatch.setattr(spotsigs, "BUCKET_ROWS", rows)
+    monkeypatch.setattr(spotsigs, "RANGES", 4)
+    random.seed(6)
+    for ids in ([None, -(1 << 63), 5, 1 << 62, *range(100, 200)], [random.randrange(-(1 << 63), 1 << 63) for _ in range(150)], [7] * 30 + [8] * 30, [None, None]):
+        docs = spark.createDataFrame([(i, f"t{k:04}") for k, i in enumerate(ids)], "id long, text string")
+        near = spark.createDataFrame([(i, f"near {i}") for i in {*ids} - {None}], "id long, mark string")
+        order = sorted(((i is not None, i or 0), f"t{k:04}") for k, i in enumerate(ids))
+        want = {t: (f"near {i}" if there else None, order[(k + 1) % len(order)][1]) for k, ((there, i), t) in enumerate(order)}
+        assert {r.text: (r.mark, r.next_text) for r in spotsigs.with_next(docs, "id", ["text"], near).collect()} == want
+
+
+@pytest.mark.parametrize("rarest", [0, 3])
+def test_set_join(spark, monkeypatch, rarest):
+    monkeypatch.setattr(setjoin, "RAREST", rarest)
     random.seed(4)
     base = [random.sample(range(40), random.randint(1, 12)) for _ in range(60)]
-    sets = base + [[*s[:-1], 99] for s in base] + [[]]
-    df = spark.createDataFrame(list(enumerate(sets)), "id long, items array<long>")
+    sets = sorted({tuple(sorted(s)) for s in base + [[*s[:-1], 99] for s in base]})
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
     for t in (0.5, 0.8):
-        want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if (u := set(sets[i]) | set(sets[j])) and sets[i] and sets[j] and len(set(sets[i]) & set(sets[j])) / len(u) >= t}
-        assert {(r.a, r.b) for r in setjoin.similar_pairs(df, t).collect()} == want
+        rows = []
+        for i, s in enumerate(sets):
+            n = len(s)
+            bits = 0
+            for x in s:
+                bits ^= 1 << x % 64
+            rows.append((i, n, bits - (1 << 64) if bits >> 63 else bits, list(s[: n - math.ceil(n * t - 1e-9) + 1])))
+        df = spark.createDataFrame(rows, "id long, n int, bits long, prefix array<long>")
+        asked = []
+
+        def similar(pairs):
+            asked.append({tuple(r) for r in pairs.select("x_id", "y_id").collect()})
+            kept = [p for p in asked[-1] if jaccard(sets[p[0]], sets[p[1]]) >= t]
+            return common.stored(spark.createDataFrame(kept, "x_id long, y_id long"), "test-similar")
+
+        got = [tuple(r) for r in setjoin.linked(df, similar, t).collect()]
+        every = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if jaccard(sets[i], sets[j]) >= t]
+        assert every and components_of(range(len(sets)), got) == components_of(range(len(sets)), every)
+        assert all(x > y for pairs in asked for x, y in pairs)
 
 
 # --- 5: host rules
