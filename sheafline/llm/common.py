@@ -72,7 +72,7 @@ def release(*tables: DataFrame) -> None:
     for t in tables:
         delete(t.sparkSession, t._stored_at)
         _made.remove((t.sparkSession, t._stored_at))
-    tables[0].sparkSession._jvm.System.gc()
+    SparkSession.getActiveSession()._jvm.System.gc()
 
 
 #: Bytes of a batch that goes to a Python worker: bounds the memory of texts however long they are.

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from .common import BLANK_CHARS, join_checked, release, small_batches, stored, words
-from .setjoin import MOST_SENT, first_met, index_only, larger_first, later, later_first, postings, room, side
+from .setjoin import MOST_SENT, all_met, first_met, later, postings
 from .rarity import rarity, sets_of
 from .wordsets import all_words
 
@@ -57,31 +57,25 @@ def matched_classes(docs: DataFrame, classes: DataFrame, threshold: float, id: s
     """(id, pos) of the first line of every class to which a similar class begins before it.
 
     Lines are first compared with the earliest ones that have their rarest
-    words.  Then all pairs are sought that share a prefix word and of which the
-    later line isn't settled: larger unsettled lines meet all, and settled ones
-    only the smaller unsettled lines that have their words.
+    words; this settles nearly all members of a large group in proportion to
+    their number.  Then all pairs are sought that share a prefix word and of
+    which the later line isn't settled.
     """
     at = ["id", "pos"]
-    posted = postings(classes, threshold, at)
-    settled = _verified(docs, first_met(posted, threshold, at), threshold, id, text)
-
-    few = settled.count() <= MOST_SENT
-    flagged = posted.join(F.broadcast(settled) if few else settled, at, "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-    large = side(flagged, "x", at, F.col("settled").alias("x_settled"))
-    small = side(index_only(flagged, threshold), "y", at, F.col("settled").alias("y_settled"))
-    open_ = larger_first(at) & room(threshold) & F.when(later(at), ~F.col("x_settled")).otherwise(~F.col("y_settled"))
-    words_settled = stored(flagged.filter("settled").select("t").distinct(), "line-settled-words")
-    of_settled = join_checked(small.filter("not y_settled"), words_settled, ["t"], "left_semi", MOST_SENT)
-    pairs = large.filter("not x_settled").join(small, "t").filter(open_).unionByName(large.filter("x_settled").join(of_settled, "t").filter(open_))
-    rest = _verified(docs, later_first(pairs, at), threshold, id, text)
+    settled = _verified(docs, first_met(postings(classes, threshold, at), threshold, at), threshold, id, text)
+    flagged = stored(join_checked(classes, settled, at, "left", MOST_SENT), "line-flagged")
+    open_ = F.when(later(at), F.col("x_settled").isNull()).otherwise(F.col("y_settled").isNull())
+    pairs = all_met(postings(flagged, threshold, at, "settled"), threshold, at, "settled", open_)
+    release(flagged)
+    rest = _verified(docs, pairs, threshold, id, text)
     out = stored(settled.unionByName(rest).select("id", "pos").distinct(), "line-matched")
-    release(settled, rest, words_settled)
+    release(settled, rest, pairs)
     return out
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, threshold: float, id: str, text: str) -> DataFrame:
     """(id, pos, settled) of the lines x of pairs (x_id, x_pos, y_id, y_pos) that are similar to y, by the words themselves."""
-    kept = stored(pairs.distinct(), "line-candidates")
+    kept = pairs if hasattr(pairs, "_stored_at") else stored(pairs.distinct(), "line-candidates")
     either = F.array(*[F.struct(F.col(f"{s}_id").alias("id"), F.col(f"{s}_pos").alias("pos")) for s in "xy"])
     wanted = kept.select(F.explode(either).alias("l")).select("l.id", "l.pos").distinct().groupBy("id").agg(F.collect_list("pos").alias("at"))
     wanted = stored(wanted.withColumnRenamed("id", "__id"), "line-wanted")
@@ -96,7 +90,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float, id: str, text
     jaccard = shared / (F.size("x_w") + F.size("y_w") - shared)
     similar = both.filter(jaccard >= threshold - 1e-12).select(F.col("x_id").alias("id"), F.col("x_pos").alias("pos")).distinct()
     out = stored(similar.withColumn("settled", F.lit(True)), "line-similar")
-    release(kept, wanted, sets)
+    release(wanted, sets, *([] if kept is pairs else [kept]))
     return out
 
 

@@ -16,10 +16,14 @@ from pyspark.sql import functions as F
 from .common import join_checked, release, stored
 from .components import connected_components
 
-#: The rarest items of a set by which it meets the first set that has them.
+#: The rarest items of a set by which it meets another one that has them.
 RAREST = 3
 #: Narrow rows that are broadcast at most.
 MOST_SENT = 1_000_000
+#: Postings of an item that needn't be paired with each other are set apart beyond so many.
+HOT = 256
+#: Items are joined in so many blocks, one after another, so that only a part of all postings is shuffled at a time.
+BLOCKS = 4
 
 
 def prefix_length(n: Column, threshold: float) -> Column:
@@ -36,26 +40,34 @@ def parity(items: str) -> Column:
     return F.expr(f"aggregate({items}, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63L as int)))")
 
 
-def postings(sets: DataFrame, threshold: float, at: list[str]) -> DataFrame:
-    """(t, *at, n, bits, i, k) for each item t of a prefix: i is its place in the ordered set, k in the prefix."""
+def postings(sets: DataFrame, threshold: float, at: list[str], *others: str) -> DataFrame:
+    """(t, *at, p, bits, k, *others) for each item t of a prefix: p packs n and i, its place in the ordered set; k is its place in the prefix."""
     unshared = prefix_length(F.col("n"), threshold) - F.size("prefix")  # they stand first
-    return sets.select(*at, "n", "bits", unshared.alias("u"), F.posexplode("prefix").alias("k", "t")).select(
-        "t", *at, "n", "bits", (F.col("u") + F.col("k")).cast("int").alias("i"), "k"
-    )
+    flat = sets.select(*at, "n", "bits", unshared.alias("u"), *others, F.posexplode("prefix").alias("k", "t"))
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("u") + F.col("k")).cast("long"))
+    return flat.select("t", *at, packed.alias("p"), "bits", "k", *others)
+
+
+def n_of(p: str) -> Column:
+    return F.shiftright(p, 32)
+
+
+def i_of(p: str) -> Column:
+    return F.col(p).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def room(threshold: float) -> Column:
-    """Length, positional and bitmap filters of x and y (n, i, bits)."""
-    n, m = F.col("x_n"), F.col("y_n")
+    """Length, positional and bitmap filters of x and y (p, bits)."""
+    n, m = n_of("x_p"), n_of("y_p")
     share = needed(n, m, threshold)
     return (
-        (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (F.least(n - F.col("x_i"), m - F.col("y_i")) >= share)
+        (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (F.least(n - i_of("x_p"), m - i_of("y_p")) >= share)
         & (F.bit_count(F.col("x_bits").bitwiseXOR(F.col("y_bits"))) <= n + m - 2 * share)
     )
 
 
-def side(frame: DataFrame, name: str, at: list[str], *others: Column | str) -> DataFrame:
-    return frame.select("t", *others, *[F.col(c).alias(f"{name}_{c}") for c in (*at, "n", "bits", "i")])
+def side(frame: DataFrame, name: str, at: list[str], *others: str) -> DataFrame:
+    return frame.select("t", *[F.col(c).alias(f"{name}_{c}") for c in (*at, "p", "bits", *others)])
 
 
 def later(at: list[str]) -> Column:
@@ -66,29 +78,27 @@ def places(at: list[str]) -> list[str]:
     return [f"{s}_{c}" for s in "xy" for c in at]
 
 
-def earliest(posted: DataFrame, at: list[str]) -> DataFrame:
-    """(t, y_...) of a posting with the least at[0] for each item t: nothing but numbers is kept while rows are read."""
-    return posted.groupBy("t").agg(F.min(at[0]).alias(f"y_{at[0]}"), *[F.min_by(c, at[0]).alias(f"y_{c}") for c in (*at[1:], "n", "bits", "i")])
-
-
 def first_met(posted: DataFrame, threshold: float, at: list[str]) -> DataFrame:
-    """Pairs (x after y) of a set and the earliest set that has one of its rarest items, RAREST for each set at most.
-
-    This settles nearly all members of a large group in proportion to their number.
-    """
+    """Pairs (x after y) of a set and the earliest set that has one of its rarest items, RAREST for each set at most."""
     rarest = posted.filter(F.col("k") < RAREST)
-    met = side(rarest, "x", at).join(earliest(rarest, at), "t")
+    # nothing but numbers is kept while rows are read
+    earliest = rarest.groupBy("t").agg(F.min(at[0]).alias(f"y_{at[0]}"), *[F.min_by(c, at[0]).alias(f"y_{c}") for c in (*at[1:], "p", "bits")])
+    met = side(rarest, "x", at).join(earliest, "t")
     return met.filter(later(at) & room(threshold)).select(*places(at))
 
 
-def index_only(posted: DataFrame, threshold: float) -> DataFrame:
-    """The postings by which the smaller or equal set of a pair is found: an even shorter prefix."""
-    return posted.filter(F.col("i") < F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1)
+def drawn_met(posted: DataFrame, threshold: float, rarest: int) -> DataFrame:
+    """Pairs (x_id, y_id) of a set and one that is drawn for each of its rarest items among the sets that have it."""
+    few = posted.filter(F.col("k") < rarest).withColumn("draw", F.xxhash64("t", "id"))
+    one = few.groupBy("t").agg(*[F.min_by(c, "draw").alias(f"y_{c}") for c in ("id", "p", "bits")])
+    met = side(few, "x", ["id"]).join(one, "t").filter((F.col("x_id") != F.col("y_id")) & room(threshold))
+    return later_first(met, ["id"])
 
 
 def larger_first(at: list[str]) -> Column:
     """x is the larger set, or the later one of equal ones."""
-    return (F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & later(at))
+    n, m = n_of("x_p"), n_of("y_p")
+    return (m < n) | ((m == n) & later(at))
 
 
 def later_first(pairs: DataFrame, at: list[str]) -> DataFrame:
@@ -96,34 +106,67 @@ def later_first(pairs: DataFrame, at: list[str]) -> DataFrame:
     return pairs.select(F.greatest(*both).alias("x"), F.least(*both).alias("y")).select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in at])
 
 
-def linked(sets: DataFrame, similar: Callable[[DataFrame], DataFrame], threshold: float, known: DataFrame | None = None) -> DataFrame:
+def all_met(posted: DataFrame, threshold: float, at: list[str], group: str, open_: Column) -> DataFrame:
+    """All pairs (x after y) that share a prefix item, have room for enough others, and are open_ (of x_<group>, y_<group>).
+
+    posted has `group`: rows of one group needn't be paired with each other,
+    null is no group.  Where an item has many rows of one group they are set
+    apart and only meet the item's other rows.
+    """
+    sizes = posted.filter(F.col(group).isNotNull()).groupBy("t", group).agg(F.count("*").alias("c")).filter(F.col("c") > HOT)
+    hot = stored(sizes.select("t", group, F.lit(True).alias("apart")), "set-hot")
+    mixed_hot = hot.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1").select("t")
+    if hot.isEmpty():
+        flagged = posted.withColumn("apart", F.lit(False))
+    else:
+        flagged = join_checked(posted, hot, ["t", group], "left", MOST_SENT).withColumn("apart", F.coalesce("apart", F.lit(False)))
+    n = n_of("p")
+    # a smaller or equal set of a pair shares a word within an even shorter prefix
+    index = flagged.filter(i_of("p") < n - F.ceil(n * (2 * threshold / (1 + threshold)) - 1e-9) + 1)
+    keep = larger_first(at) & open_ & room(threshold)
+    parts = []
+    for block in range(BLOCKS):
+        here = F.pmod(F.col("t"), F.lit(BLOCKS)) == block
+        large, small = side(flagged.filter(here), "x", at, group, "apart"), side(index.filter(here), "y", at, group, "apart")
+        met = large.filter("not x_apart").join(small, "t").filter(keep)
+        parts.append(stored(later_first(met, at).distinct(), "set-pairs"))
+        release()
+    if not hot.isEmpty():
+        large, small = side(flagged.filter("apart"), "x", at, group), side(index, "y", at, group, "apart")
+        others = join_checked(small.filter("not y_apart").drop("y_apart"), hot.select("t").distinct(), ["t"], "left_semi", MOST_SENT)
+        parts.append(stored(later_first(large.join(others, "t").filter(keep), at).distinct(), "set-pairs"))
+        alike = join_checked(small.filter("y_apart").drop("y_apart"), mixed_hot, ["t"], "left_semi", MOST_SENT)
+        parts.append(stored(later_first(large.join(alike, "t").filter(keep), at).distinct(), "set-pairs"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    whole = stored(out.distinct(), "set-pairs")
+    release(hot, *parts)
+    return whole
+
+
+def linked(sets: DataFrame, similar: Callable[[DataFrame], DataFrame], threshold: float, known: DataFrame | None = None, rarest: int = 8) -> DataFrame:
     """Links (a, b) that connect all sets(id, n, bits, prefix) which chains of similar sets connect.
 
-    `similar` keeps those pairs (x_id, y_id) that reach the threshold and may
-    get pairs repeatedly; `known` are pairs worth asking first.  Sets that are
-    met first are asked next; then all pairs that share a prefix item and are
-    not connected yet.  Of the postings of an item those in the component of its
-    earliest set needn't be paired with each other, so a large group costs as
-    much as its members and not as their pairs.
+    `similar` keeps those pairs (x_id, y_id) that reach the threshold; `known`
+    are pairs worth asking first.  Each set is asked about a few that are drawn
+    for its rarest items, which connects nearly all members of a large group in
+    proportion to their number.  Then all pairs are asked that share a prefix
+    item and aren't connected yet; of their links one for two components is kept.
     """
-    at = ["id"]
-    posted = postings(sets, threshold, at)
-    asked = first_met(posted, threshold, at)
+    asked = drawn_met(postings(sets, threshold, ["id"]), threshold, rarest)
     near = similar(asked if known is None else asked.unionByName(known))
     parts = connected_components(near.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")), "set-parts")
 
-    part_of = parts.select(F.col("node").alias("id"), "component")
-    labelled = join_checked(posted, part_of, ["id"], "left", MOST_SENT).withColumn("part", F.coalesce("component", "id")).drop("component", "k")
-    labelled = stored(labelled, "set-postings")
-    main = labelled.groupBy("t").agg(F.min_by("part", "id").alias("main"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
-    opened = stored(labelled.join(main.select("t", "main"), "t"), "set-open")
-    outside = opened.filter("part <> main")
-    x = side(outside, "x", at, F.col("part").alias("x_part"))
-    y = side(opened, "y", at, F.col("part").alias("y_part"), (F.col("part") == F.col("main")).alias("y_main"))
-    # of two outsiders each finds the other
-    once = F.col("y_main") | later(at)
-    met = x.join(y, "t").filter((F.col("x_part") != F.col("y_part")) & once & room(threshold))
-    more = similar(later_first(met, at))
-    out = stored(near.unionByName(more).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), "set-links")
-    release(near, more, parts, labelled, opened)
+    part_of = parts.select(F.col("node").alias("id"), F.col("component").alias("part"))
+    placed = stored(join_checked(sets, part_of, ["id"], "left", MOST_SENT), "set-placed")
+    apart = F.coalesce("x_part", "x_id") != F.coalesce("y_part", "y_id")
+    pairs = all_met(postings(placed, threshold, ["id"], "part"), threshold, ["id"], "part", apart)
+    more = similar(pairs)
+    of = lambda s: part_of.select(F.col("id").alias(f"{s}_id"), F.col("part").alias(f"{s}_part"))
+    named = more.join(of("x"), "x_id", "left").join(of("y"), "y_id", "left")
+    ends = [F.coalesce("x_part", "x_id"), F.coalesce("y_part", "y_id")]
+    between = named.select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b"))
+    out = stored(near.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).unionByName(between).distinct(), "set-links")
+    release(near, more, parts, placed, pairs)
     return out

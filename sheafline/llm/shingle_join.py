@@ -69,7 +69,7 @@ def set_rows(text: Column, shingle: int, threshold: float, classes: Any) -> Colu
 
 def similar_texts(docs: DataFrame, pairs: DataFrame, threshold: float, shingle: int, id: str, text: str) -> DataFrame:
     """The pairs (x_id, y_id) of ids whose texts reach the threshold."""
-    kept = stored(pairs.distinct(), "text-candidates")
+    kept = pairs if hasattr(pairs, "_stored_at") else stored(pairs.distinct(), "text-candidates")
     wanted = stored(kept.select(F.explode(F.array("x_id", "y_id")).alias("id")).distinct(), "text-wanted")
     of_wanted = join_checked(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), wanted, ["id"], rows=MOST_SENT)
     sets = stored(of_wanted.select("id", shingles(F.col("text"), shingle).alias("items")), "text-sets")
@@ -78,7 +78,7 @@ def similar_texts(docs: DataFrame, pairs: DataFrame, threshold: float, shingle:
     likeness = shared / (F.size("x_items") + F.size("y_items") - shared)
     both = kept.join(side("x"), "x_id").join(side("y"), "y_id")
     out = stored(both.filter(likeness >= threshold - 1e-12).select("x_id", "y_id").distinct(), "text-similar")
-    release(kept, wanted, sets)
+    release(wanted, sets, *([] if kept is pairs else [kept]))
     return out
 
 

@@ -203,30 +203,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id: str = "do
     own = stored(signatures(known, "t", "items").select("id", "items", F.xxhash64("items").alias("h"), F.xxhash64(F.lit(1), "items").alias("g")), "spot-sets")
     keyed = own.select("id", "h", "g", F.size("items").alias("n"))
     classes = stored(keyed.groupBy("h", "g", "n").agg(F.min("id").alias("class_id")), "spot-classes")
-    firsts = join_checked(own, classes.select(F.col("class_id").alias("id"), "h", "g"), ["id", "h", "g"], "left_semi", MOST_SENT)
-    sets = stored(firsts.filter(F.size("items") > 0).dropDuplicates(["id"]).select("id", "items"), "spot-firsts")
+    firsts = classes.filter("n > 0").select(F.col("class_id").alias("id"), "h", "g")
     n = F.size("items")
     length = F.when(n * (1 - threshold) >= threshold - 1e-9, prefix_length(n, threshold)).otherwise(F.lit(0)).cast("int")
-    with session_value(rarity(sets)) as table:
+    with session_value(rarity(own)) as table:
         first = F.sort_array(F.transform("items", lambda s: F.shiftleft(F.coalesce(F.get(table, _bucket(s)), F.lit(0)).cast("long"), 32).bitwiseOR(s.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
-        ordered = sets.select("id", n.alias("n"), parity("transform(items, x -> cast(x as bigint))").alias("bits"), F.slice(first, F.lit(1), length).alias("p"))
-        lists = stored(ordered.select("id", "n", "bits", F.filter("p", lambda x: x >= F.lit((UNSHARED + 1) << 32)).alias("prefix")), "spot-prefixes")
-    links = linked(lists, lambda pairs: _similar(sets, pairs, threshold), threshold)
+        ordered = own.join(firsts, ["id", "h", "g"], "left_semi").select("id", n.alias("n"), parity("transform(items, x -> cast(x as bigint))").alias("bits"), F.slice(first, F.lit(1), length).alias("p"))
+        short = ordered.select("id", "n", "bits", F.filter("p", lambda x: x >= F.lit((UNSHARED + 1) << 32)).alias("prefix"))
+        lists = stored(short.dropDuplicates(["id"]), "spot-prefixes")
+    links = linked(lists, lambda pairs: _similar(own.select("id", "items"), pairs, threshold), threshold)
     found = connected_components(links, "spot-components")
     of_class = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("h", "g", "n", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = stored(keyed.join(of_class, ["h", "g", "n"]).select(F.col("id").alias(id), "class_id", "component_id"), "spot-near")
-    release(own, classes, sets, lists, links, found)
+    release(own, classes, lists, links, found)
     return out
 
 
 def _similar(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """Those pairs (x_id, y_id) whose sets(id, items) reach the threshold."""
-    kept = stored(pairs.distinct(), "spot-candidates")
+    kept = pairs if hasattr(pairs, "_stored_at") else stored(pairs.distinct(), "spot-candidates")
     wanted = stored(kept.select(F.explode(F.array("x_id", "y_id")).alias("id")).distinct(), "spot-wanted")
     chosen = join_checked(sets, wanted, ["id"], "left_semi", MOST_SENT)
     of = lambda s: chosen.select(F.col("id").alias(f"{s}_id"), F.col("items").alias(f"{s}_items"))
     both = kept.join(of("x"), "x_id").join(of("y"), "y_id")
     near = likeness(F.col("x_items"), F.col("y_items"), threshold) >= threshold - 1e-12
-    out = stored(both.filter(near).select("x_id", "y_id"), "spot-similar")
-    release(kept, wanted)
+    out = stored(both.filter(near).select("x_id", "y_id").distinct(), "spot-similar")
+    release(wanted, *([] if kept is pairs else [kept]))
     return out

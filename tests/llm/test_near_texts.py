@@ -58,9 +58,9 @@ def edited_texts():
     return dict(enumerate(out))
 
 
-@pytest.mark.parametrize("rarest", [0, 3])
-def test_all_near_texts_are_found(spark, monkeypatch, rarest):
-    monkeypatch.setattr(setjoin, "RAREST", rarest)
+@pytest.mark.parametrize("hot", [1, 256])
+def test_all_near_texts_are_found(spark, monkeypatch, hot):
+    monkeypatch.setattr(setjoin, "HOT", hot)
     texts = edited_texts()
     want, linked = brute_components(texts)
     docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in texts.items()], DOCS)

@@ -222,9 +222,9 @@ def components_of(nodes, links):
     return {i: find(i) for i in nodes}
 
 
-@pytest.mark.parametrize("rarest", [0, 3])
-def test_spotsigs_near_duplicates(spark, monkeypatch, rarest):
-    monkeypatch.setattr(setjoin, "RAREST", rarest)
+@pytest.mark.parametrize("hot", [0, 256])
+def test_spotsigs_near_duplicates(spark, monkeypatch, hot):
+    monkeypatch.setattr(setjoin, "HOT", hot)
     docs = docs_of(spark).unionByName(odd_docs(spark).withColumn("doc_id", F.col("doc_id") - 100))
     sigs = {r.doc_id: frozenset(brute_signatures(r.text)) for r in docs.collect()}
     first = {}
@@ -252,9 +252,9 @@ def test_next_document_for_any_ids(spark, monkeypatch, rows):
         assert {r.text: (r.mark, r.next_text) for r in spotsigs.with_next(docs, "id", ["text"], near).collect()} == want
 
 
-@pytest.mark.parametrize("rarest", [0, 3])
-def test_set_join(spark, monkeypatch, rarest):
-    monkeypatch.setattr(setjoin, "RAREST", rarest)
+@pytest.mark.parametrize(("rarest", "hot"), [(0, 256), (1, 0), (3, 2)])
+def test_set_join(spark, monkeypatch, rarest, hot):
+    monkeypatch.setattr(setjoin, "HOT", hot)
     random.seed(4)
     base = [random.sample(range(40), random.randint(1, 12)) for _ in range(60)]
     sets = sorted({tuple(sorted(s)) for s in base + [[*s[:-1], 99] for s in base]})
@@ -275,7 +275,7 @@ def test_set_join(spark, monkeypatch, rarest):
             kept = [p for p in asked[-1] if jaccard(sets[p[0]], sets[p[1]]) >= t]
             return common.stored(spark.createDataFrame(kept, "x_id long, y_id long"), "test-similar")
 
-        got = [tuple(r) for r in setjoin.linked(df, similar, t).collect()]
+        got = [tuple(r) for r in setjoin.linked(df, similar, t, rarest=rarest).collect()]
         every = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if jaccard(sets[i], sets[j]) >= t]
         assert every and components_of(range(len(sets)), got) == components_of(range(len(sets)), every)
         assert all(x > y for pairs in asked for x, y in pairs)

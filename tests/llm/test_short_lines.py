@@ -6,7 +6,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from sheafline.llm import line_dedup  # noqa: E402
+from sheafline.llm import line_dedup, setjoin  # noqa: E402
 
 
 def brute(rows, threshold):
@@ -32,8 +32,9 @@ def short_lines():
     return rows
 
 
-@pytest.mark.parametrize("threshold", [0.8, 0.5])
-def test_short_lines(spark, threshold):
+@pytest.mark.parametrize(("threshold", "hot"), [(0.8, 256), (0.5, 0)])
+def test_short_lines(spark, monkeypatch, threshold, hot):
+    monkeypatch.setattr(setjoin, "HOT", hot)
     rows = short_lines()
     got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.without_matches(spark.createDataFrame(rows, "doc_id long, text string"), threshold).collect()}
     assert got == brute(rows, threshold)
