@@ -27,7 +27,7 @@ THRESHOLD = 0.8
 
 
 def line_sets(docs: DataFrame, classes: Any, threshold: float, id: str, text: str) -> DataFrame:
-    """(id, pos, n, h, g, bits, prefix) of every line with a word.
+    """(id, pos, n, h, g, bits, more, prefix) of every line with a word.
 
     Words are 8 bits of rarity and 56 of hash, h and g 128 bits of hash of the
     set.  bits is a bitmap of parities: a bit is whether an odd number of words
@@ -42,14 +42,14 @@ def line_sets(docs: DataFrame, classes: Any, threshold: float, id: str, text: st
         table = np.frombuffer(classes.value, np.uint8)
         for batch in batches:
             w = all_words(batch.column(1))
-            first, n, h, g, bits, ends, prefix = sets_of(w, table, threshold)
+            first, n, h, g, bits, more, ends, prefix = sets_of(w, table, threshold)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), signed(prefix))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(w.row[first])), pa.array(w.pos[first], pa.int32()), pa.array(n, pa.int32()), signed(h), signed(g), signed(bits), lists,
-            ], ["id", "pos", "n", "h", "g", "bits", "prefix"])
+                batch.column(0).take(pa.array(w.row[first])), pa.array(w.pos[first], pa.int32()), pa.array(n, pa.int32()), signed(h), signed(g), signed(bits), signed(more), lists,
+            ], ["id", "pos", "n", "h", "g", "bits", "more", "prefix"])
 
     schema = StructType().add("id", docs.schema[id].dataType).add("pos", IntegerType()).add("n", IntegerType())
-    schema = schema.add("h", LongType()).add("g", LongType()).add("bits", LongType()).add("prefix", ArrayType(LongType()))
+    schema = schema.add("h", LongType()).add("g", LongType()).add("bits", LongType()).add("more", LongType()).add("prefix", ArrayType(LongType()))
     return docs.select(F.col(id).alias("id"), text).mapInArrow(run, schema)
 
 
@@ -103,7 +103,7 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id"
     table = docs.sparkSession.sparkContext.broadcast(rarity(docs, text))  # of a fixed size
     lines = stored(line_sets(docs, table, threshold, id, text), "line-sets")
     table.destroy()
-    first = F.min(F.struct("id", "pos", "n", "bits", "prefix")).alias("first")
+    first = F.min(F.struct("id", "pos", "n", "bits", "more", "prefix")).alias("first")
     classes = stored(lines.groupBy("h", "g").agg(first).select("first.*"), "line-classes")
     release(lines)
     matched = matched_classes(docs, classes, threshold, id, text)
@@ -126,15 +126,17 @@ def without_matches(docs: DataFrame, threshold: float = THRESHOLD, id: str = "do
     clear = docs.drop("n_lines", "n_removed")
     kept = kept_lines(clear.filter(F.col(id).isNotNull()), threshold, id, text)
     kept = kept.groupBy(F.col("id").alias("__id")).agg(F.collect_list("pos").alias("__kept"))
-    at = F.split(F.col(text), "\n")
+    found = clear.join(kept, F.col(id) == F.col("__id"), "left").withColumns({
+        "__lines": F.split(F.col(text), "\n"), "__kept": F.coalesce("__kept", F.array().cast("array<int>")),
+    })
+    at = F.col("__lines")  # split once, not for each line
     blank = F.filter(F.sequence(F.lit(0), F.size(at) - 1), lambda i: F.btrim(F.get(at, i), F.lit(BLANK_CHARS)) == "")
-    found = clear.join(kept, F.col(id) == F.col("__id"), "left").withColumn("__kept", F.coalesce("__kept", F.array().cast("array<int>")))
     # rows that repeat an id can have fewer lines than its places
-    placed = found.withColumn("__at", F.filter(F.array_sort(F.array_union(blank, "__kept")), lambda i: i < F.size(at)))
+    placed = found.withColumn("__at", F.filter(F.sort_array(F.array_union(blank, "__kept")), lambda i: i < F.size(at)))
     gone = F.when(F.col(id).isNull() | F.col(text).isNull(), F.lit(0)).otherwise(F.size(at) - F.size("__at"))
     left = F.array_join(F.transform("__at", lambda i: F.get(at, i)), "\n")
     return placed.withColumns({
         "n_lines": F.coalesce(F.size(at), F.lit(0)).cast("long"),
         "n_removed": gone.cast("long"),
         text: F.when(gone == 0, F.col(text)).otherwise(left),
-    }).drop("__id", "__kept", "__at")
+    }).drop("__id", "__kept", "__at", "__lines")

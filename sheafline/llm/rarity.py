@@ -52,11 +52,11 @@ def rarity(docs: DataFrame, text: str = "text", shingle: int = 0) -> bytes:
 
 
 def sets_of(w: Words, classes: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
-    """Of each line of w: its first word's place in w, n, h, g, bits, where its prefix ends, and all prefixes one after another.
+    """Of each line of w: its first word's place in w, n, h, g, bits, more, where its prefix ends, and all prefixes one after another.
 
     w has the words (or shingles) of lines in order.  They become 8 bits of
-    rarity and 56 of hash; h and g are 128 bits of hash of the set.  bits is a
-    bitmap of parities: a bit is whether an odd number of words falls on it.  A
+    rarity and 56 of hash; h and g are 128 bits of hash of the set.  bits and more are
+    a bitmap of parities: a bit is whether an odd number of words falls on it.  A
     prefix lacks what stands once in the corpus, and sets that are too small
     to be similar to any but an equal one have none.
     """
@@ -75,11 +75,12 @@ def sets_of(w: Words, classes: np.ndarray, threshold: float) -> tuple[np.ndarray
     start = np.flatnonzero(np.diff(line, prepend=line[:1] + 1)) if len(line) else np.zeros(0, int)
     n = np.diff(start, append=len(key))
     if not len(n):
-        return first, n, *[np.zeros(0, np.uint64)] * 3, n, key
+        return first, n, *[np.zeros(0, np.uint64)] * 4, n, key
     h, g = (np.add.reduceat(mixed(key, seed), start) for seed in (1, 2))
-    bits = np.bitwise_xor.reduceat(np.uint64(1) << (key & np.uint64(63)), start)
+    one, half = np.uint64(1) << (key & np.uint64(63)), (key & np.uint64(64)) == 0
+    bits, more = (np.bitwise_xor.reduceat(np.where(part, one, np.uint64(0)), start) for part in (half, ~half))
     size = np.where(n * (1 - threshold) >= threshold - 1e-9, n - np.ceil(n * threshold - 1e-9).astype(int) + 1, 0)
     ends = np.cumsum(size)
     prefix = key[np.repeat(start - (ends - size), size) + np.arange(ends[-1])]
     shared = prefix >> np.uint64(56) > UNSHARED
-    return first, n, h, g, bits, np.concatenate(([0], np.cumsum(shared)))[ends], prefix[shared]
+    return first, n, h, g, bits, more, np.concatenate(([0], np.cumsum(shared)))[ends], prefix[shared]

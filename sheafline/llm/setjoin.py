@@ -1,7 +1,7 @@
 """Parts of exact Jaccard joins with prefix, positional, length and bitmap filters.
 
-A set is a row with the columns `at` that name it, n (its size), bits (a
-bitmap of the parities of its items, see parity()) and prefix: those of its
+A set is a row with the columns `at` that name it, n (its size), bits and more
+(a bitmap of the parities of its items, see parity()) and prefix: those of its
 first items that can be shared, in an order by rarity that is one for all sets.
 What can't be shared comes first in that order and needn't be in the prefix.
 """
@@ -23,7 +23,7 @@ MOST_SENT = 1_000_000
 #: Postings of an item that needn't be paired with each other are set apart beyond so many.
 HOT = 256
 #: Items are joined in so many blocks, one after another, so that only a part of all postings is shuffled at a time.
-BLOCKS = 4
+BLOCKS = 2
 
 
 def prefix_length(n: Column, threshold: float) -> Column:
@@ -35,17 +35,20 @@ def needed(a: Column, b: Column, threshold: float) -> Column:
     return F.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9)
 
 
-def parity(items: str) -> Column:
-    """64 bits: whether an odd number of items (long) falls on each.  Two sets differ in at least as many items as in bits."""
-    return F.expr(f"aggregate({items}, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63L as int)))")
+def parity(items: str, bit: int) -> Column:
+    """64 bits: whether an odd number of items (long) with `bit` (0 or 64) falls on each.
+
+    Two sets differ in at least as many items as in these bits.
+    """
+    return F.expr(f"aggregate({items}, 0L, (a, x) -> a ^ if((x & 64L) = {bit}L, shiftleft(1L, cast(x & 63L as int)), 0L))")
 
 
 def postings(sets: DataFrame, threshold: float, at: list[str], *others: str) -> DataFrame:
-    """(t, *at, p, bits, k, *others) for each item t of a prefix: p packs n and i, its place in the ordered set; k is its place in the prefix."""
+    """(t, *at, p, bits, more, k, *others) for each item t of a prefix: p packs n and i, its place in the ordered set; k is its place in the prefix."""
     unshared = prefix_length(F.col("n"), threshold) - F.size("prefix")  # they stand first
-    flat = sets.select(*at, "n", "bits", unshared.alias("u"), *others, F.posexplode("prefix").alias("k", "t"))
+    flat = sets.select(*at, "n", "bits", "more", unshared.alias("u"), *others, F.posexplode("prefix").alias("k", "t"))
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("u") + F.col("k")).cast("long"))
-    return flat.select("t", *at, packed.alias("p"), "bits", "k", *others)
+    return flat.select("t", *at, packed.alias("p"), "bits", "more", "k", *others)
 
 
 def n_of(p: str) -> Column:
@@ -57,17 +60,18 @@ def i_of(p: str) -> Column:
 
 
 def room(threshold: float) -> Column:
-    """Length, positional and bitmap filters of x and y (p, bits)."""
+    """Length, positional and bitmap filters of x and y (p, bits, more)."""
     n, m = n_of("x_p"), n_of("y_p")
     share = needed(n, m, threshold)
+    apart = [F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in ("bits", "more")]
     return (
         (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (F.least(n - i_of("x_p"), m - i_of("y_p")) >= share)
-        & (F.bit_count(F.col("x_bits").bitwiseXOR(F.col("y_bits"))) <= n + m - 2 * share)
+        & (apart[0] + apart[1] <= n + m - 2 * share)
     )
 
 
 def side(frame: DataFrame, name: str, at: list[str], *others: str) -> DataFrame:
-    return frame.select("t", *[F.col(c).alias(f"{name}_{c}") for c in (*at, "p", "bits", *others)])
+    return frame.select("t", *[F.col(c).alias(f"{name}_{c}") for c in (*at, "p", "bits", "more", *others)])
 
 
 def later(at: list[str]) -> Column:
@@ -82,7 +86,7 @@ def first_met(posted: DataFrame, threshold: float, at: list[str]) -> DataFrame:
     """Pairs (x after y) of a set and the earliest set that has one of its rarest items, RAREST for each set at most."""
     rarest = posted.filter(F.col("k") < RAREST)
     # nothing but numbers is kept while rows are read
-    earliest = rarest.groupBy("t").agg(F.min(at[0]).alias(f"y_{at[0]}"), *[F.min_by(c, at[0]).alias(f"y_{c}") for c in (*at[1:], "p", "bits")])
+    earliest = rarest.groupBy("t").agg(F.min(at[0]).alias(f"y_{at[0]}"), *[F.min_by(c, at[0]).alias(f"y_{c}") for c in (*at[1:], "p", "bits", "more")])
     met = side(rarest, "x", at).join(earliest, "t")
     return met.filter(later(at) & room(threshold)).select(*places(at))
 
@@ -90,7 +94,7 @@ def first_met(posted: DataFrame, threshold: float, at: list[str]) -> DataFrame:
 def drawn_met(posted: DataFrame, threshold: float, rarest: int) -> DataFrame:
     """Pairs (x_id, y_id) of a set and one that is drawn for each of its rarest items among the sets that have it."""
     few = posted.filter(F.col("k") < rarest).withColumn("draw", F.xxhash64("t", "id"))
-    one = few.groupBy("t").agg(*[F.min_by(c, "draw").alias(f"y_{c}") for c in ("id", "p", "bits")])
+    one = few.groupBy("t").agg(*[F.min_by(c, "draw").alias(f"y_{c}") for c in ("id", "p", "bits", "more")])
     met = side(few, "x", ["id"]).join(one, "t").filter((F.col("x_id") != F.col("y_id")) & room(threshold))
     return later_first(met, ["id"])
 
@@ -146,7 +150,7 @@ def all_met(posted: DataFrame, threshold: float, at: list[str], group: str, open
 
 
 def linked(sets: DataFrame, similar: Callable[[DataFrame], DataFrame], threshold: float, known: DataFrame | None = None, rarest: int = 8) -> DataFrame:
-    """Links (a, b) that connect all sets(id, n, bits, prefix) which chains of similar sets connect.
+    """Links (a, b) that connect all sets(id, n, bits, more, prefix) which chains of similar sets connect.
 
     `similar` keeps those pairs (x_id, y_id) that reach the threshold; `known`
     are pairs worth asking first.  Each set is asked about a few that are drawn

@@ -44,17 +44,17 @@ def shingles(text: Column, shingle: int) -> Column:
 
 
 def set_rows(text: Column, shingle: int, threshold: float, classes: Any) -> Column:
-    """struct(fp, n, h, g, bits, prefix): SimHash and the set of a text's shingles, see sets_of(); all zero without words."""
+    """struct(fp, n, h, g, bits, more, prefix): SimHash and the set of a text's shingles, see sets_of(); all zero without words."""
 
-    @F.arrow_udf("struct<fp:long,n:int,h:long,g:long,bits:long,prefix:array<long>>")
+    @F.arrow_udf("struct<fp:long,n:int,h:long,g:long,bits:long,more:long,prefix:array<long>>")
     def rows(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = np.frombuffer(classes.value, np.uint8)
         for x in texts:
             w = shingled(all_words(x, lower=True), shingle)
-            first, n, h, g, bits, ends, prefix = sets_of(w, table, threshold)
+            first, n, h, g, bits, more, ends, prefix = sets_of(w, table, threshold)
             row = w.row[first]
             columns = []
-            for values in (bit_majorities(w.hash, first), n, h, g, bits):
+            for values in (bit_majorities(w.hash, first), n, h, g, bits, more):
                 of = np.zeros(len(x), np.int64)
                 of[row] = values.view(np.int64)
                 columns.append(pa.array(of))
@@ -62,7 +62,7 @@ def set_rows(text: Column, shingle: int, threshold: float, classes: Any) -> Colu
             length[row + 1] = np.diff(ends, prepend=0)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(length), pa.int32()), pa.array(prefix.view(np.int64)))
             columns[1] = columns[1].cast(pa.int32())
-            yield pa.StructArray.from_arrays([*columns, lists], ["fp", "n", "h", "g", "bits", "prefix"])
+            yield pa.StructArray.from_arrays([*columns, lists], ["fp", "n", "h", "g", "bits", "more", "prefix"])
 
     return rows(text)
 
@@ -99,7 +99,7 @@ def near_texts(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = 5,
     table = spark.sparkContext.broadcast(rarity(known, text, shingle))  # of a fixed size
     own = stored(known.select(F.col(id).alias("id"), set_rows(F.col(text), shingle, threshold, table).alias("s")).select("id", "s.*"), "text-rows")
     table.destroy()
-    first = F.min(F.struct("id", "fp", "bits", "prefix")).alias("x")
+    first = F.min(F.struct("id", "fp", "bits", "more", "prefix")).alias("x")
     classes = stored(own.groupBy("h", "g", "n").agg(first).select("h", "g", "n", "x.*"), "text-classes")
     rows = stored(own.select("id", "h", "g", "n"), "text-keys")
     release(own)
@@ -110,7 +110,7 @@ def near_texts(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = 5,
     of = lambda s: prints.select(F.col("fp").alias(s), F.col("least").alias(f"{s}_id"))
     close = links(prints, "fp", 3).distinct().join(of("a"), "a").join(of("b"), "b").select(*pair("a_id", "b_id"))
     similar = lambda pairs: similar_texts(known, pairs, threshold, shingle, id, text)
-    found = linked(classes.select("id", "n", "bits", "prefix"), similar, threshold, same.unionByName(close))
+    found = linked(classes.select("id", "n", "bits", "more", "prefix"), similar, threshold, same.unionByName(close))
 
     parts = connected_components(found, "text-components")
     of_class = classes.select("h", "g", "n", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("h", "g", "n", F.coalesce("component", "id").alias("component_id"))

@@ -208,8 +208,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id: str = "do
     length = F.when(n * (1 - threshold) >= threshold - 1e-9, prefix_length(n, threshold)).otherwise(F.lit(0)).cast("int")
     with session_value(rarity(own)) as table:
         first = F.sort_array(F.transform("items", lambda s: F.shiftleft(F.coalesce(F.get(table, _bucket(s)), F.lit(0)).cast("long"), 32).bitwiseOR(s.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
-        ordered = own.join(firsts, ["id", "h", "g"], "left_semi").select("id", n.alias("n"), parity("transform(items, x -> cast(x as bigint))").alias("bits"), F.slice(first, F.lit(1), length).alias("p"))
-        short = ordered.select("id", "n", "bits", F.filter("p", lambda x: x >= F.lit((UNSHARED + 1) << 32)).alias("prefix"))
+        ordered = own.join(firsts, ["id", "h", "g"], "left_semi").select("id", n.alias("n"), parity("transform(items, x -> cast(x as bigint))", 0).alias("bits"), parity("transform(items, x -> cast(x as bigint))", 64).alias("more"), F.slice(first, F.lit(1), length).alias("p"))
+        short = ordered.select("id", "n", "bits", "more", F.filter("p", lambda x: x >= F.lit((UNSHARED + 1) << 32)).alias("prefix"))
         lists = stored(short.dropDuplicates(["id"]), "spot-prefixes")
     links = linked(lists, lambda pairs: _similar(own.select("id", "items"), pairs, threshold), threshold)
     found = connected_components(links, "spot-components")

@@ -263,11 +263,11 @@ def test_set_join(spark, monkeypatch, rarest, hot):
         rows = []
         for i, s in enumerate(sets):
             n = len(s)
-            bits = 0
+            bits = [0, 0]
             for x in s:
-                bits ^= 1 << x % 64
-            rows.append((i, n, bits - (1 << 64) if bits >> 63 else bits, list(s[: n - math.ceil(n * t - 1e-9) + 1])))
-        df = spark.createDataFrame(rows, "id long, n int, bits long, prefix array<long>")
+                bits[x // 64] ^= 1 << x % 64
+            rows.append((i, n, *[b - (1 << 64) if b >> 63 else b for b in bits], list(s[: n - math.ceil(n * t - 1e-9) + 1])))
+        df = spark.createDataFrame(rows, "id long, n int, bits long, more long, prefix array<long>")
         asked = []
 
         def similar(pairs):
