@@ -23,7 +23,7 @@ MOST_SENT = 1_000_000
 #: Postings of an item that needn't be paired with each other are set apart beyond so many.
 HOT = 256
 #: Items are joined in so many blocks, one after another, so that only a part of all postings is shuffled at a time.
-BLOCKS = 2
+BLOCKS = 4
 
 
 def prefix_length(n: Column, threshold: float) -> Column:
@@ -91,12 +91,12 @@ def first_met(posted: DataFrame, threshold: float, at: list[str]) -> DataFrame:
     return met.filter(later(at) & room(threshold)).select(*places(at))
 
 
-def drawn_met(posted: DataFrame, threshold: float, rarest: int) -> DataFrame:
-    """Pairs (x_id, y_id) of a set and one that is drawn for each of its rarest items among the sets that have it."""
-    few = posted.filter(F.col("k") < rarest).withColumn("draw", F.xxhash64("t", "id"))
-    one = few.groupBy("t").agg(*[F.min_by(c, "draw").alias(f"y_{c}") for c in ("id", "p", "bits", "more")])
-    met = side(few, "x", ["id"]).join(one, "t").filter((F.col("x_id") != F.col("y_id")) & room(threshold))
-    return later_first(met, ["id"])
+def drawn_met(posted: DataFrame, threshold: float, open_: Column | None = None) -> DataFrame:
+    """Pairs (x after y) of a set and one that is drawn for each of its items in posted among the sets that have it."""
+    others = [] if open_ is None else ["part"]
+    one = posted.withColumn("draw", F.xxhash64("t", "id")).groupBy("t").agg(*[F.min_by(c, "draw").alias(f"y_{c}") for c in ("id", "p", "bits", "more", *others)])
+    met = side(posted, "x", ["id"], *others).join(one, "t").filter((F.col("x_id") != F.col("y_id")) & room(threshold))
+    return later_first(met if open_ is None else met.filter(open_), ["id"])
 
 
 def larger_first(at: list[str]) -> Column:
@@ -149,28 +149,38 @@ def all_met(posted: DataFrame, threshold: float, at: list[str], group: str, open
     return whole
 
 
-def linked(sets: DataFrame, similar: Callable[[DataFrame], DataFrame], threshold: float, known: DataFrame | None = None, rarest: int = 8) -> DataFrame:
+def linked(sets: DataFrame, similar: Callable[[DataFrame], DataFrame], threshold: float, known: DataFrame | None = None, rarest: int = 4) -> DataFrame:
     """Links (a, b) that connect all sets(id, n, bits, more, prefix) which chains of similar sets connect.
 
     `similar` keeps those pairs (x_id, y_id) that reach the threshold; `known`
     are pairs worth asking first.  Each set is asked about a few that are drawn
-    for its rarest items, which connects nearly all members of a large group in
+    for its rarest items, and what isn't connected to them about one drawn for
+    every prefix item: this connects nearly all members of a large group in
     proportion to their number.  Then all pairs are asked that share a prefix
     item and aren't connected yet; of their links one for two components is kept.
     """
-    asked = drawn_met(postings(sets, threshold, ["id"]), threshold, rarest)
-    near = similar(asked if known is None else asked.unionByName(known))
-    parts = connected_components(near.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")), "set-parts")
-
-    part_of = parts.select(F.col("node").alias("id"), F.col("component").alias("part"))
-    placed = stored(join_checked(sets, part_of, ["id"], "left", MOST_SENT), "set-placed")
+    at = ["id"]
+    ends = lambda pairs: pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
     apart = F.coalesce("x_part", "x_id") != F.coalesce("y_part", "y_id")
-    pairs = all_met(postings(placed, threshold, ["id"], "part"), threshold, ["id"], "part", apart)
+
+    def placed(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        parts = connected_components(links, "set-parts")
+        part_of = parts.select(F.col("node").alias("id"), F.col("component").alias("part"))
+        return parts, join_checked(sets, part_of, at, "left", MOST_SENT)
+
+    asked = drawn_met(postings(sets, threshold, at).filter(F.col("k") < rarest), threshold)
+    near = similar(asked if known is None else asked.unionByName(known))
+    parts, rows = placed(ends(near))
+    also = similar(drawn_met(postings(rows, threshold, at, "part"), threshold, apart))
+    release(parts)
+    parts, rows = placed(ends(near.unionByName(also)))
+    pairs = all_met(postings(rows, threshold, at, "part"), threshold, at, "part", apart)
     more = similar(pairs)
-    of = lambda s: part_of.select(F.col("id").alias(f"{s}_id"), F.col("part").alias(f"{s}_part"))
+    of = lambda s: parts.select(F.col("node").alias(f"{s}_id"), F.col("component").alias(f"{s}_part"))
     named = more.join(of("x"), "x_id", "left").join(of("y"), "y_id", "left")
-    ends = [F.coalesce("x_part", "x_id"), F.coalesce("y_part", "y_id")]
-    between = named.select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b"))
-    out = stored(near.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).unionByName(between).distinct(), "set-links")
-    release(near, more, parts, placed, pairs)
+    both = [F.coalesce("x_part", "x_id"), F.coalesce("y_part", "y_id")]
+    between = named.select(F.greatest(*both).alias("a"), F.least(*both).alias("b"))
+    inside = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))  # what connects them is as good as their links
+    out = stored(inside.unionByName(between).filter("a <> b").distinct(), "set-links")
+    release(near, also, more, parts, pairs)
     return out

@@ -158,8 +158,9 @@ def compare_edited(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     """
     whole = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     near = near_duplicates(whole, THRESHOLD, "id", "text").groupBy("id").agg(F.min("class_id").alias("class_id"), F.min("component_id").alias("component_id"))
-    marked = with_next(signatures(whole, "text", "own"), "id", ["text", "own"], near)
-    changed = marked.withColumn("edited", edited(F.col("text"), F.col("next_text"))).select(
+    marked = with_next(whole, "id", ["text"], near)  # only texts are dealt out: signatures are made where they meet
+    own = signatures(signatures(marked, "text", "own"), "next_text", "next_own")
+    changed = own.withColumn("edited", edited(F.col("text"), F.col("next_text"))).select(
         "id", F.length("text").cast("long").alias("n_chars"), "own", "next_own", "edited", "class_id", "component_id"
     )
     both = signatures(changed, "edited", "other")

@@ -252,7 +252,7 @@ def test_next_document_for_any_ids(spark, monkeypatch, rows):
         assert {r.text: (r.mark, r.next_text) for r in spotsigs.with_next(docs, "id", ["text"], near).collect()} == want
 
 
-@pytest.mark.parametrize(("rarest", "hot"), [(0, 256), (1, 0), (3, 2)])
+@pytest.mark.parametrize(("rarest", "hot"), [(0, 256), (1, 0), (4, 2)])
 def test_set_join(spark, monkeypatch, rarest, hot):
     monkeypatch.setattr(setjoin, "HOT", hot)
     random.seed(4)
