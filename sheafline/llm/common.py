@@ -10,24 +10,20 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import shared_folder
+
 #: One or more ASCII blanks: what separates words everywhere in this package.
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Their characters.
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 #: A word.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/sheafline"
-
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else LOCAL_CHECKPOINTS
+    """The folder that driver and executors share, from spark.checkpoint.dir; only a local session may name none."""
+    return shared_folder(spark)
 
 
 def delete(spark: SparkSession, path: str) -> None:

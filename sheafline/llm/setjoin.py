@@ -18,6 +18,8 @@ from .components import connected_components
 
 #: The rarest items of a set by which it meets another one that has them.
 RAREST = 3
+#: Of the sets with an item, so many early ones are met first.
+LEADERS = 4
 #: Narrow rows that are broadcast at most.
 MOST_SENT = 1_000_000
 #: Postings of an item that needn't be paired with each other are set apart beyond so many.
@@ -83,10 +85,11 @@ def places(at: list[str]) -> list[str]:
 
 
 def first_met(posted: DataFrame, threshold: float, at: list[str]) -> DataFrame:
-    """Pairs (x after y) of a set and the earliest set that has one of its rarest items, RAREST for each set at most."""
+    """Pairs (x after y) of a set and the earliest sets that have one of its rarest items, LEADERS * RAREST for each set at most."""
     rarest = posted.filter(F.col("k") < RAREST)
-    # nothing but numbers is kept while rows are read
-    earliest = rarest.groupBy("t").agg(F.min(at[0]).alias(f"y_{at[0]}"), *[F.min_by(c, at[0]).alias(f"y_{c}") for c in (*at[1:], "p", "bits", "more")])
+    # the earliest of each class of a hash; nothing but numbers is kept while rows are read
+    few = rarest.groupBy("t", F.pmod(F.xxhash64(*at), F.lit(LEADERS)).alias("class"))
+    earliest = few.agg(F.min(at[0]).alias(f"y_{at[0]}"), *[F.min_by(c, at[0]).alias(f"y_{c}") for c in (*at[1:], "p", "bits", "more")])
     met = side(rarest, "x", at).join(earliest, "t")
     return met.filter(later(at) & room(threshold)).select(*places(at))
 
