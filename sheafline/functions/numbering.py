@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -11,15 +12,26 @@ from pyspark.sql import functions as F
 # Fixed values.
 ROMAN = ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))
 SYMBOLS = ("*", chr(0x2020), chr(0x2021), chr(0xA7), chr(0xB6), chr(0x2016))
-KINDS = "1aAiI*"
+#: The letters of systems that count like a, b, ..., z, aa, by the symbol that stands for them.
+LETTERS = {
+    "あ": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわをん",
+    "い": "いろはにほへとちりぬるをわかよたれそつねならむうゐのおくやまけふこえてあさきゆめみしゑひもせす",
+    "ア": "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワヲン",
+    "イ": "イロハニホヘトチリヌルヲワカヨタレソツネナラムウヰノオクヤマケフコエテアサキユメミシヱヒモセス",
+    "가": "가나다라마바사아자차카타파하",
+    "ㄱ": "ㄱㄴㄷㄹㅁㅂㅅㅇㅈㅊㅋㅌㅍㅎ",
+}
+#: The zero of systems with ten digits, by their one.
+ZEROS = {chr(zero + 1): zero for zero in (0x30, 0x660, 0x6F0, 0x966, 0x9E6)}
+KINDS = "aAiI*" + "".join((*ZEROS, *LETTERS))
 
 
 def formatted(kind: str, n: int) -> str:
     """One number; systems without a zero fall back to digits."""
     if n < 0:
         raise ValueError("numbers must be at least zero")
-    if kind == "1":
-        return str(n)
+    if kind in ZEROS:
+        return "".join(chr(ZEROS[kind] + int(d)) for d in str(n))
     if kind in "iI":
         out, rest = "" if n else "N", n
         for value, sign in ROMAN:
@@ -30,11 +42,11 @@ def formatted(kind: str, n: int) -> str:
         return "0"
     if kind == "*":
         return SYMBOLS[(n - 1) % len(SYMBOLS)] * ((n - 1) // len(SYMBOLS) + 1)
-    out = ""
+    letters, out = LETTERS.get(kind, string.ascii_uppercase if kind == "A" else string.ascii_lowercase), ""
     while n:
-        n, k = divmod(n - 1, 26)
-        out = chr(ord("a") + k) + out
-    return out if kind == "a" else out.upper()
+        n, k = divmod(n - 1, len(letters))
+        out = letters[k] + out
+    return out
 
 
 def pieces(pattern: str) -> tuple[list[tuple[str, str]], str]:

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from .selectors import KEY, Selector
 
-#: Rounds of rules that are applied to what rules made.
-MOST_ROUNDS = 64
-
 
 def set_default(elements: DataFrame, kind: str, field: str, value: str) -> DataFrame:
     """A field's value where elements of a kind don't have their own."""
@@ -31,10 +28,11 @@ def show(elements: DataFrame, selector: Selector, rewrite: Callable[[], dict[str
 
 
 def show_text(runs: DataFrame, within: list[str], ord: str, text: str, pattern: str, replacement: str) -> DataFrame:
-    """Neighbouring texts of a group as one, with all matches replaced, even those across borders."""
+    """Neighbouring texts of a group as one, with all matches replaced, even those across borders; replacement is plain text."""
     items = F.array_sort(F.collect_list(F.struct(ord, text)))
     joined = F.array_join(F.transform(items, lambda s: s[text]), "")
-    return runs.groupBy(*within).agg(F.regexp_replace(joined, pattern, replacement).alias(text))
+    plain = replacement.replace("\\", "\\\\").replace("$", "\\$")
+    return runs.groupBy(*within).agg(F.regexp_replace(joined, F.lit(pattern), F.lit(plain)).alias(text))
 
 
 def collapse_spaces(rows: DataFrame, within: list[str], ord: str, text: str) -> DataFrame:

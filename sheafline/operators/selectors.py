@@ -139,15 +139,20 @@ class Side(Selector):
 
 @dataclass(frozen=True, eq=False)
 class Within(Selector):
-    """Matches strictly inside a match of the ancestor."""
+    """Matches strictly inside a match of the ancestor: one that begins before has the greatest end beyond them."""
 
     of: Selector
     ancestor: Selector
 
     def rows(self, elements: DataFrame) -> DataFrame:
-        outer = self.ancestor.rows(elements).select(F.col("doc_id").alias("__d"), F.col("ord").alias("__a"), F.col("end_ord").alias("__z"))
-        inside = (F.col("doc_id") == F.col("__d")) & (F.col("ord") > F.col("__a")) & (F.col("ord") < F.col("__z"))
-        return self.of.rows(elements).join(outer, inside, "left_semi")
+        from pyspark.sql import Window
+
+        outer = self.ancestor.rows(elements).select("doc_id", F.col("ord").alias("__at"), F.col("end_ord").alias("__end"))
+        both = self.of.rows(elements).withColumn("__at", F.col("ord")).unionByName(outer, allowMissingColumns=True)
+        # of a match and an ancestor at one place the match comes first: an element isn't inside itself
+        over = Window.partitionBy("doc_id").orderBy("__at", F.col("__end").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        reach = both.withColumn("__reach", F.max("__end").over(over))
+        return reach.filter(F.col("__end").isNull() & (F.col("__reach") > F.col("__at"))).drop("__at", "__end", "__reach")
 
 
 def elem(kind: str | None = None, /, **fields: object) -> Elem:

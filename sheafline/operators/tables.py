@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
+#: Used only where a local session names no spark.checkpoint.dir, as in tests.
 LOCAL = "/tmp/checkpoints/sheafline"
 
 
 def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster needs a folder that driver and executors share: set spark.checkpoint.dir")
     return (named or LOCAL).rstrip("/")
 
 

@@ -445,6 +445,39 @@ def dt_parts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("""SELECT p_partkey, CAST(abs(p_size - 25) AS INT) AS distance, p_retailprice - trunc(p_retailprice) AS part, CAST(least(p_size, 10, 25) AS INT) AS low, CAST(greatest(p_size, 10, 25) AS INT) AS high,
+  p_size % 2 <> 0 AS odd, CAST(floor((p_size - 25) / 7.0) AS BIGINT) AS whole, CAST(floor((p_size - 25) / -7.0) AS BIGINT) AS down, CAST(sign(p_size - 25) AS DOUBLE) AS sign,
+  p_size = 1 AS bad, p_size = 2 AS endless FROM part""")
+def calc_signs(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_size")
+    m, odd = n - 25, F.when(n == 1, float("nan")).when(n == 2, float("-inf")).otherwise(n.cast("double"))
+    return table(spark, d, "part").select(
+        "p_partkey", calc.abs_(m).alias("distance"), calc.fract(F.col("p_retailprice")).alias("part"), calc.min_(n, F.lit(10), F.lit(25)).alias("low"), calc.max_(n, F.lit(10), F.lit(25)).alias("high"),
+        calc.odd(n).alias("odd"), calc.div_euclid(m, F.lit(7)).alias("whole"), calc.quo(m, F.lit(-7)).alias("down"), numbers.signum(m).alias("sign"),
+        numbers.is_nan(odd).alias("bad"), numbers.is_infinite(odd).alias("endless"),
+    )
+
+
+@query("""SELECT event_id, CAST(hour(ts) AS INT) AS h, CAST(minute(ts) AS INT) AS m, CAST(second(ts) AS INT) AS s, date_diff('microsecond', TIMESTAMP '2020-01-01', ts) / 1e6 AS seconds,
+  date_diff('microsecond', TIMESTAMP '2020-01-01', ts) / 1e6 / 60 AS minutes, date_diff('microsecond', TIMESTAMP '2020-01-01', ts) / 1e6 / 3600 AS hours,
+  date_diff('microsecond', TIMESTAMP '2020-01-01', ts) / 1e6 / 604800 AS weeks, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS made, '2024-02-29' AS today FROM events""")
+def dt_durations(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("ts").cast("timestamp_ntz")
+    since = t - datetimes.datetime(2020, 1, 1, 0, 0, 0)
+    made = datetimes.datetime(datetimes.year(t), datetimes.month(t), datetimes.day(t), datetimes.hour(t), 0, 0)
+    return table(spark, d, "events").select(
+        "event_id", datetimes.hour(t).alias("h"), datetimes.minute(t).alias("m"), datetimes.second(t).alias("s"), datetimes.seconds(since).alias("seconds"),
+        datetimes.minutes(since).alias("minutes"), datetimes.hours(since).alias("hours"), datetimes.weeks(since).alias("weeks"),
+        datetimes.display(made, "[year]-[month]-[day] [hour]").alias("made"), datetimes.display(datetimes.today("2024-02-29")).alias("today"),
+    )
+
+
+@query(f"""WITH o AS ({_QUANTITIES}) SELECT l_orderkey, array_to_string(list_concat(q, [7], q), ',') AS flat FROM o""")
+def arr_flatten(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("q")
+    return _orders(spark, d).select("l_orderkey", _text(arrays.flatten(F.array(q, F.array(F.lit(7).cast("bigint")), q))).alias("flat"))
+
+
 @query("""SELECT o_orderkey, (o_totalprice > 200000 AND o_orderstatus = 'F') AS both, (o_totalprice > 200000 OR o_orderstatus = 'F') AS either,
   (CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END) IS NOT DISTINCT FROM NULL AS none FROM orders""")
 def strict_logic(spark: SparkSession, d: str) -> DataFrame:

@@ -153,11 +153,28 @@ def encoded(value: Column, kind: str, pretty: bool = False) -> Column:
 def _toml(v: object, path: tuple[str, ...] = ()) -> str:
     if not isinstance(v, dict):
         raise TypeError("TOML files are tables")
-    plain = {k: x for k, x in v.items() if not isinstance(x, dict)}
-    lines = [f"{json.dumps(k)} = {json.dumps(x, ensure_ascii=False)}" for k, x in plain.items() if x is not None]
-    head = [f"[{'.'.join(json.dumps(p) for p in path)}]"] if path else []
-    rest = [_toml(x, (*path, k)) for k, x in v.items() if isinstance(x, dict)]
-    return "\n".join([*head, *lines, *rest]) + ("\n" if not path else "")
+    tables = {k: x for k, x in v.items() if isinstance(x, dict) or (isinstance(x, list) and x and all(isinstance(y, dict) for y in x))}
+    lines = [f"{_toml_key(k)} = {_toml_value(x)}" for k, x in v.items() if k not in tables and x is not None]
+    for k, x in tables.items():
+        name = ".".join(map(_toml_key, (*path, k)))
+        for part in x if isinstance(x, list) else [x]:
+            lines += [f"[[{name}]]" if isinstance(x, list) else f"[{name}]", _toml(part, (*path, k))]
+    return "\n".join(lines) + ("\n" if not path else "")
+
+
+def _toml_key(k: str) -> str:
+    return json.dumps(k, ensure_ascii=False).replace("\x7f", "\\u007f")
+
+
+def _toml_value(v: object) -> str:
+    """A value within a line; there is no null, and tables in arrays with other values are inline."""
+    if v is None:
+        raise TypeError("TOML has no null")
+    if isinstance(v, list):
+        return f"[{', '.join(map(_toml_value, v))}]"
+    if isinstance(v, dict):
+        return "{" + ", ".join(f"{_toml_key(k)} = {_toml_value(x)}" for k, x in v.items() if x is not None) + "}"
+    return _toml_key(v) if isinstance(v, str) else json.dumps(v)
 
 
 # BibLaTeX entries: @kind{key, field = {value}, ...}
