@@ -611,8 +611,11 @@ def counter_at(spark: SparkSession, d: str) -> DataFrame:
     return folds.as_of(selectors.query(e, elem("item", body="R")).select("doc_id", "ord"), updates, ["doc_id"], "number").select("doc_id", "ord", "number")
 
 
-@query(f"""WITH {_COUNTERS} SELECT doc_id, CAST(ord AS BIGINT) AS ord, CASE level WHEN 1 THEN concat(n1, ')') ELSE concat(n1, '.', chr(CAST(96 + n2 AS INT)), ')') END AS shown
-  FROM counted WHERE level <= 2 AND n2 <= 26""")
+# a number has as many letters as it needs, up to four here: that is for 475,254 orders of a customer
+@query(f"""WITH {_COUNTERS}, a AS (SELECT *, CAST(n2 AS BIGINT) AS q0 FROM counted WHERE level <= 2), b AS (SELECT *, (q0 - 1) // 26 AS q1 FROM a),
+  c AS (SELECT *, (q1 - 1) // 26 AS q2 FROM b), d AS (SELECT *, (q2 - 1) // 26 AS q3 FROM c)
+  SELECT doc_id, CAST(ord AS BIGINT) AS ord, CASE level WHEN 1 THEN concat(n1, ')') ELSE concat(n1, '.', CASE WHEN q3 > 0 THEN chr(CAST(97 + (q3 - 1) % 26 AS INT)) END,
+    CASE WHEN q2 > 0 THEN chr(CAST(97 + (q2 - 1) % 26 AS INT)) END, CASE WHEN q1 > 0 THEN chr(CAST(97 + (q1 - 1) % 26 AS INT)) END, chr(CAST(97 + (q0 - 1) % 26 AS INT)), ')') END AS shown FROM d""")
 def counter_display(spark: SparkSession, d: str) -> DataFrame:
     rows = folds.counter_steps(_elements(spark, d).filter("level <= 2"), 2, ["doc_id"])
     return rows.select("doc_id", "ord", numbering.numbering(F.col("counter"), "1.a)").alias("shown"))

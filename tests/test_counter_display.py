@@ -1,5 +1,7 @@
 """Letters of numbers beyond 26."""
 
+import duckdb
+
 from sheafline.plans import queries as core
 
 DATA = "/root/testdata/sf0.001"
@@ -25,3 +27,7 @@ def test_more_than_26_orders(spark, tmp_path):
     got = sorted((r.doc_id, r.ord, r.shown) for r in core.queries()["counter_display"](spark, str(tmp_path)).collect())
     assert got == [(c, k, f"1.{letters(k)})" if k else "1)") for c, n in ((one, 705), (other, 25)) for k in range(n + 1)]
     assert [got[k][2] for k in (26, 27, 702, 703)] == ["1.z)", "1.aa)", "1.zz)", "1.aaa)"]
+    duck = duckdb.connect()
+    for name in ("customer", "orders", "lineitem"):
+        duck.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(duck.sql(f"SELECT doc_id, ord, shown FROM ({core.oracle_sql()['counter_display']})").fetchall()) == got
