@@ -34,7 +34,7 @@ LANG_BUCKETS = 16
 _SYMBOLS = b"#*$%&|<>{}[]~^@=+\\_"
 TEXT_FEATURES = (
     "log_words", "mean_word", "upper_words", "symbols", "exclamations", "digits", "ends_odd", "short_words",
-    "distinct_words", "distinct_pairs", "same_next", "repeated_lines", "top_word",
+    "distinct_words", "distinct_pairs", "same_next", "repeated_lines", "middle_word",
 )
 
 
@@ -62,7 +62,7 @@ def text_features(text: str | None) -> list[float]:
         len(pairs) / max(n - 1, 1),
         same / n,
         1 - len(set(lines)) / len(lines) if lines else 0.0,
-        w.count(w[n // 2]) / n,
+        w.count(w[n // 2]) / n,  # of the word in the middle, a draw that is likely to hit what a text is stuffed with
     ]
 
 
@@ -221,7 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", columns: dic
 
     Labelled and pool documents are the first by a hash of the id, MOST_LABELLED
     and MOST_POOL at most; their features (20 numbers each) go to the driver.
-    Null labels and ids are no labels; of labels that disagree the lower counts.
+    Null labels and ids are no labels; of labels that disagree the lower counts,
+    and of rows that repeat an id one.
     """
     small_batches(docs.sparkSession)
     id = columns["id"]
@@ -238,6 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", columns: dic
 
     rows = (
         docs.join(F.broadcast(chosen), F.col(id) == F.col("__id"))  # MOST_LABELLED + MOST_POOL narrow rows at most
+        .dropDuplicates(["__id"])  # the bound is on rows, too
         .select("__id", "__label", seen(*_inputs(docs, columns)).alias("x")).select("__id", "__label", "x.t", "x.m").collect()
     )
     rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[2]))
