@@ -172,14 +172,25 @@ def query_first(elements: DataFrame, selector: Selector) -> DataFrame:
 
 
 def query_unique(elements: DataFrame, selector: Selector) -> DataFrame:
-    """The one match in each document that has any; more are an error."""
-    rows = selector.rows(elements)
-    rest = [c for c in rows.columns if c != "doc_id"]
-    one = rows.groupBy("doc_id").agg(F.min_by(F.struct(*rest), "ord").alias("r"), F.count("*").alias("n"))
-    checked = F.when(F.col("n") == 1, F.col("r")).otherwise(F.raise_error("selector matches multiple elements"))
+    """The one match in each document; more or none are an error."""
+    p = selector.predicate()
+    marked = elements.withColumn("__hit", p) if p is not None else elements.join(selector.rows(elements).select(*KEY, F.lit(True).alias("__hit")), KEY, "left")
+    rest = [c for c in elements.columns if c != "doc_id"]
+    hit = F.coalesce("__hit", F.lit(False))
+    one = marked.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.when(hit, F.col("ord"))).alias("r"), F.count_if(hit).alias("n"))
+    wrong = F.when(F.col("n") == 0, F.lit("no element matches the selector")).otherwise(F.lit("more than one element matches the selector"))
+    checked = F.when(F.col("n") == 1, F.col("r")).otherwise(F.raise_error(wrong))
     return one.select("doc_id", checked.alias("r")).select("doc_id", "r.*")
 
 
+def query_label(elements: DataFrame, name: str) -> DataFrame:
+    """The one element with a label, of all documents; more or none are an error."""
+    rows = elements.filter(F.col("label") == name)
+    one = rows.agg(F.first(F.struct(*elements.columns)).alias("r"), F.count("*").alias("n"))
+    wrong = F.when(F.col("n") == 0, F.lit("no element has the label")).otherwise(F.lit("more than one element has the label"))
+    return one.select(F.when(F.col("n") == 1, F.col("r")).otherwise(F.raise_error(wrong)).alias("r")).select("r.*")
+
+
 def locate(elements: DataFrame, selector: Selector) -> DataFrame:
     return query_unique(elements, selector).select(*KEY)
 

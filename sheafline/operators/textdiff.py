@@ -9,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import settled
+
+#: N-grams that are broadcast at most.
+MOST_SENT = 200_000
 #: At least two letters in a row.
 LETTERS = r"\p{L}{2,}"
 
@@ -98,19 +102,22 @@ def deficits(source: DataFrame, output: DataFrame, id: list[str]) -> DataFrame:
     return both.filter(F.col("found") < F.col("n"))
 
 
-def unique_ngrams(docs: DataFrame, id: list[str], text: str, n: int = 5) -> DataFrame:
-    """(gram, id, at): n-grams that stand once in the whole table."""
+def unique_ngrams(docs: DataFrame, id: list[str], text: str, n: int = 5, among: DataFrame | None = None) -> DataFrame:
+    """(gram, id, at): n-grams that stand once in the whole table; with among(gram) only those, and no others are shuffled if they are few."""
     t = tokens(F.col(text))
     grams = docs.select(*id, t.alias("t")).filter(F.size("t") >= n).select(
         *id, F.posexplode(F.expr(f"transform(sequence(1, size(t) - {n - 1}), i -> array_join(slice(t, i, {n}), ' '))")).alias("at", "gram")
     )
+    if among is not None:
+        few = among.limit(MOST_SENT + 1).count() <= MOST_SENT
+        grams = grams.join(F.broadcast(among) if few else among, "gram", "left_semi")
     return grams.groupBy("gram").agg(F.count("*").alias("__n"), *[F.min(c).alias(c) for c in id], F.min("at").alias("at")).filter("__n = 1").drop("__n")
 
 
 def aligned(left: DataFrame, right: DataFrame, id: list[str], text: str, n: int = 5) -> DataFrame:
     """The first n-gram by place that each left id shares with a right one, unique on both sides; ids without one stay."""
-    l = unique_ngrams(left, id, text, n)
-    r = unique_ngrams(right, id, text, n).select("gram", *[F.col(c).alias(f"to_{c}") for c in id], F.col("at").alias("to_at"))
+    l = settled(unique_ngrams(left, id, text, n), "grams")
+    r = unique_ngrams(right, id, text, n, l.select("gram")).select("gram", *[F.col(c).alias(f"to_{c}") for c in id], F.col("at").alias("to_at"))
     first = l.join(r, "gram").groupBy(*id).agg(F.min_by(F.struct("gram", *[f"to_{c}" for c in id], "at", "to_at"), "at").alias("m"))
     return left.select(*id).distinct().join(first, id, "left").select(*id, "m.*")
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import binary, calc, datetimes, numbering, numbers, strings
-from ..functions.guards import all_of, any_of, divide, plus, same
+from ..functions.guards import all_of, any_of, assert_eq, assert_ne, assert_that, divide, panic, plus, same
 from ..operators import arrays, dicts, elements, folds, frames, lookups, merge, order, records, rewrite, selectors, textdiff
-from ..operators.selectors import Label, elem
+from ..operators.selectors import Label, Location, elem
+from ..operators.tables import shared_folder
+from ..sources import readers, sinks
 from ..streaming.watch import event_batches
 from .rounds import fixpoint
 
@@ -693,7 +696,7 @@ def note_numbers(spark: SparkSession, d: str) -> DataFrame:
 # --- text comparison -------------------------------------------------------------------------
 
 _TOKENS = r"regexp_extract_all(lower(text), '\p{L}{2,}')"
-_PAIR = f"""a AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents WHERE doc_id < 100000000),
+_PAIR = f"""a AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents),
  l AS (SELECT doc_id, token, count(*) AS n FROM a GROUP BY 1, 2),
  r AS (SELECT doc_id - 1 AS doc_id, token, n FROM l)"""
 
@@ -745,10 +748,8 @@ _GRAMS = """{n} AS (SELECT {id}, list_transform(range(0, greatest(len(t) - 4, 0)
 def ngram_aligned(spark: SparkSession, d: str) -> DataFrame:
     bench = table(spark, d, "benchmark").select("item_id", "text")
     docs = table(spark, d, "documents").select("doc_id", "text")
-    left = textdiff.unique_ngrams(bench, ["item_id"], "text")
-    right = textdiff.unique_ngrams(docs, ["doc_id"], "text").select("gram", F.col("doc_id").alias("to_doc_id"), F.col("at").alias("to_at"))
-    first = left.join(right, "gram").groupBy("item_id").agg(F.min_by(F.struct("to_doc_id", "at", "to_at"), "at").alias("m"))
-    return bench.select("item_id").join(first, "item_id", "left").select("item_id", "m.to_doc_id", F.col("m.at").alias("place"), F.col("m.to_at").alias("to_place"))
+    found = textdiff.aligned(bench, docs.withColumnRenamed("doc_id", "item_id"), ["item_id"], "text")
+    return found.select("item_id", F.col("to_item_id").alias("to_doc_id"), F.col("at").alias("place"), F.col("to_at").alias("to_place"))
 
 
 @query(f"""WITH d AS (SELECT unnest(list_distinct({_TOKENS})) AS t, doc_id FROM documents), s AS (SELECT doc_id, t FROM d), o AS (SELECT doc_id - 1 AS doc_id, t FROM d)
@@ -947,6 +948,253 @@ def watch_batches(spark: SparkSession, d: str) -> DataFrame:
     return event_batches(table(spark, d, "events"), ["user_id"], millis, ["event_id"], 86_400_000, 172_800_000).select("event_id", "batch")
 
 
+# --- more scalars ----------------------------------------------------------------------------
+
+@query(r"""SELECT p_partkey, array_to_string(regexp_extract_all(p_name, '.'), '|') AS clusters, CAST(length(p_name) AS BIGINT) AS codepoints, nfc_normalize(p_name) AS normal, substr(p_name, 2, 1) AS second,
+  nullif(regexp_extract(p_name, '[aeiou]+'), '') AS vowels, CASE WHEN regexp_matches(p_name, '[aeiou]') THEN CAST(strpos(p_name, regexp_extract(p_name, '[aeiou]+')) - 1 AS BIGINT) END AS vowels_at,
+  regexp_matches(p_name, '^[a-m]') AS early, strip_accents(p_name) AS plain, array_to_string(regexp_extract_all(lower(p_name), '\p{L}{2,}'), '|') AS folded FROM part""")
+def str_units(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("p_name")
+    vowels = strings.match(t, "[aeiou]+", True)
+    return table(spark, d, "part").select(
+        "p_partkey", F.array_join(strings.clusters(t), "|").alias("clusters"), F.size(strings.codepoints(t)).cast("bigint").alias("codepoints"), strings.normalize(t).alias("normal"),
+        strings.at(t, 1).alias("second"), vowels["text"].alias("vowels"), vowels["start"].alias("vowels_at"), strings.starts_with(t, strings.regex_pattern("[a-m]"), True).alias("early"),
+        textdiff.without_marks(t).alias("plain"), F.array_join(textdiff.folded_tokens(t), "|").alias("folded"),
+    )
+
+
+@query("""SELECT p_partkey, p_retailprice AS little, p_retailprice AS big, CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE) AS single, CAST(p_size AS DOUBLE) AS exact,
+  substr(p_name, 2, 3) AS cut, lpad(upper(to_base(p_size, 16)), 2, '0') || lpad(upper(to_base(p_size + 1, 16)), 2, '0') AS made,
+  array_to_string(list_transform(string_split(p_brand, ''), lambda c: unicode(c)), ',') AS codes, p_name AS label, 'int' AS kind, '{"v":' || p_size || '}' AS shown FROM part""")
+def bytes_and_types(spark: SparkSession, d: str) -> DataFrame:
+    price, n = F.col("p_retailprice"), F.col("p_size").cast("int")
+    made = binary.bytes_of_array(F.array(n, n + 1))
+    return table(spark, d, "part").select(
+        "p_partkey", numbers.float_from_bytes(numbers.float_to_bytes(price)).alias("little"), numbers.float_from_bytes(numbers.float_to_bytes(price, "big"), "big").alias("big"),
+        numbers.float_from_bytes(numbers.float_to_bytes(price, size=4)).alias("single"), numbers.decimal(n.cast("string"), 2).cast("double").alias("exact"),
+        binary.slice_(binary.to_bytes(F.col("p_name")), 1, 4).cast("string").alias("cut"), F.hex(made).alias("made"), _text(binary.array_of_bytes(binary.to_bytes(F.col("p_brand")))).alias("codes"),
+        binary.label(F.col("p_name")).alias("label"), binary.type_of(n).alias("kind"), binary.repr_(n).alias("shown"),
+    )
+
+
+@query("SELECT o_orderkey, 'equal' AS first, 'unequal' AS second, 'calm' AS third, o_totalprice * 2 AS fourth FROM orders")
+def guard_checks(spark: SparkSession, d: str) -> DataFrame:
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    passed = lambda check, word: F.coalesce(check.cast("string"), F.lit(word))
+    return table(spark, d, "orders").select(
+        "o_orderkey", passed(assert_eq(k, k + 0), "equal").alias("first"), passed(assert_ne(k, k + 1), "unequal").alias("second"),
+        F.when(k.isNull(), panic("no key", k)).otherwise("calm").alias("third"), F.when(assert_that(price.isNotNull()).isNull(), price * 2).alias("fourth"),
+    )
+
+
+@query(f"""WITH t AS ({_MAP}) SELECT event_id, 'u=' || m['u'] AS rest, CAST(2 * CAST(m['k'] > 50 AS BIGINT) + CAST(m['u'] > 50 AS BIGINT) AS BIGINT) AS large FROM t""")
+def dict_rest(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("m")
+    bundle = dicts.arguments(F.array(dicts.at(m, "k")), m)
+    return _maps(spark, d).select("event_id", _entries(dicts.rest_of(m, ["k"])).alias("rest"), dicts.args_len(dicts.args_filter(bundle, lambda v: v > 50)).alias("large"))
+
+
+@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id) - row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord FROM events""")
+def rows_reversed(spark: SparkSession, d: str) -> DataFrame:
+    placed = order.ord_within(table(spark, d, "events"), ["user_id"], ["ts", "event_id"])
+    return frames.reversed_rows(placed, "ord", ["user_id"]).select("event_id", "ord")
+
+
+# --- more selectors, state and rewriting -----------------------------------------------------
+
+_selected("sel_location", "doc_id = 3 AND ord = 0", lambda: Location(3, 0))
+
+
+@query("SELECT c_custkey AS doc_id, CAST(-1 AS BIGINT) AS ord, c_mktsegment AS value FROM customer")
+def sel_metadata(spark: SparkSession, d: str) -> DataFrame:
+    extra = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(-1).cast("bigint").alias("ord"), F.col("c_mktsegment").alias("value"))
+    return selectors.field_values(selectors.query(selectors.with_metadata(_elements(spark, d), extra), elem("metadata")), "value")
+
+
+@query("""SELECT event_id, row_number() OVER w || '/' || count(*) OVER (PARTITION BY user_id) AS both,
+  CAST(event_id // 10 - min(event_id // 10) OVER (PARTITION BY user_id) + 1 AS BIGINT) AS page_counter FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def counter_both(spark: SparkSession, d: str) -> DataFrame:
+    placed = order.ord_within(table(spark, d, "events"), ["user_id"], ["ts", "event_id"])
+    counted = placed.withColumns({"counter": F.array(F.col("ord") + 1), "page": F.floor(F.col("event_id") / 10)})
+    paged = folds.page_counter(folds.both(counted, ["user_id"]), ["user_id"])
+    return paged.select("event_id", F.array_join(F.col("both").cast("array<string>"), "/").alias("both"), "page_counter")
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+  s AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM (SELECT DISTINCT user_id FROM e)
+    UNION ALL SELECT e.user_id, e.k, e.event_id, CASE t WHEN 'click' THEN a + 1 WHEN 'purchase' THEN 5 WHEN 'signup' THEN a * 2 % 1000 ELSE a END,
+      CASE t WHEN 'click' THEN NULL WHEN 'purchase' THEN NULL WHEN 'signup' THEN NULL ELSE coalesce(b, 0) + 1 END FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)
+  SELECT event_id, concat_ws('.', a, b) AS counter FROM s WHERE k > 0""")
+def counter_updates(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "purchase", "set").when(F.col("event_type") == "signup", "twice").otherwise("step")
+    rows = table(spark, d, "events").select(
+        "event_id", "user_id", "ts", kind.alias("kind"), F.when(F.col("event_type") == "click", 1).otherwise(2).alias("level"), F.array(F.lit(5).cast("bigint")).alias("numbers")
+    )
+    done = folds.counter_fold(rows, ["user_id"], ["ts", "event_id"], {"twice": lambda now: [now[0] * 2 % 1000]})
+    return done.select("event_id", _number().alias("counter"))
+
+
+@query(f"WITH {_ELEMENTS} SELECT doc_id, CAST(ord AS BIGINT) AS ord, CASE WHEN elem = 'heading' THEN coalesce(status, 'none') ELSE status END AS status FROM elements")
+def set_rule(spark: SparkSession, d: str) -> DataFrame:
+    rows = rewrite.set_default(_elements(spark, d), "heading", "status", "none")
+    return rows.select("doc_id", "ord", F.try_element_at("fields", F.lit("status")).alias("status"))
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER w - 1 AS ord, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ord) AS run FROM e)
+  SELECT user_id, event_type, CAST(min(ord) AS BIGINT) AS first, CAST(max(ord) AS BIGINT) AS last, string_agg(event_id, ',' ORDER BY ord) AS items FROM r GROUP BY user_id, event_type, run""")
+def group_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    placed = order.ord_within(table(spark, d, "events"), ["user_id"], ["ts", "event_id"])
+    return rewrite.group_runs(placed, ["user_id"], "ord", "event_type", "event_id").withColumn("items", _text(F.col("items")))
+
+
+@query("""WITH e AS (SELECT event_id, CASE event_type WHEN 'view' THEN ' ' WHEN 'click' THEN 'a ' ELSE 'b' END AS t, user_id, ts FROM events),
+  n AS (SELECT *, lag(t) OVER w AS p, lead(t) OVER w AS nx FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+  SELECT event_id, t FROM n WHERE NOT (t = ' ' AND (p IS NULL OR p LIKE '% ' OR nx IS NULL))""")
+def space_collapsing(spark: SparkSession, d: str) -> DataFrame:
+    placed = order.ord_within(table(spark, d, "events"), ["user_id"], ["ts", "event_id"])
+    t = F.when(F.col("event_type") == "view", " ").when(F.col("event_type") == "click", "a ").otherwise("b")
+    return rewrite.collapse_spaces(placed.withColumn("t", t), ["user_id"], "ord", "t").select("event_id", "t")
+
+
+@query(f"""WITH {_ELEMENTS} SELECT h.doc_id, CAST(h.ord AS BIGINT) AS ord, string_agg(i.body, '' ORDER BY i.ord) AS text
+  FROM elements h JOIN elements i ON i.doc_id = h.doc_id AND i.elem = 'item' AND i.ord > h.ord AND i.ord < h.end_ord WHERE h.level = 2 GROUP BY 1, 2""")
+def plain_texts(spark: SparkSession, d: str) -> DataFrame:
+    return rewrite.plain_text(_elements(spark, d), elem("heading", level=2), "item")
+
+
+# --- more comparison and records -------------------------------------------------------------
+
+@query("""WITH r AS (SELECT p_brand, unnest(regexp_extract_all(p_name, '[a-z]+')) AS run FROM part), i AS (SELECT p_brand, run, unnest(range(1, length(run))) AS i FROM r)
+  SELECT p_brand, substr(run, i, 2) AS token, count(*) AS n FROM i GROUP BY 1, 2""")
+def pair_counts(spark: SparkSession, d: str) -> DataFrame:
+    return textdiff.pair_counts(table(spark, d, "part"), ["p_brand"], "p_name", "[a-z]")
+
+
+@query(f"WITH {_PAIR} SELECT doc_id, token, l.n, r.n AS found FROM l JOIN r USING (doc_id, token) WHERE r.n < l.n")
+def token_deficits(spark: SparkSession, d: str) -> DataFrame:
+    return textdiff.deficits(*_pair(spark, d), ["doc_id"])
+
+
+@query("SELECT p_partkey, p_size, p_size * 7 % 50 AS before, p_size * 7 % 50 - p_size AS lost FROM part ORDER BY lost DESC, p_partkey LIMIT 20")
+def largest_drops(spark: SparkSession, d: str) -> DataFrame:
+    now = table(spark, d, "part").select("p_partkey", "p_size")
+    return textdiff.drops(now, now.withColumn("p_size", F.col("p_size") * 7 % 50), ["p_partkey"], "p_size", 20)
+
+
+@query("""WITH e AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE coalesce(text, '') END) AS h FROM documents WHERE doc_id % 7 <> 0),
+  f AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 11 <> 0)
+  SELECT coalesce(e.doc_id, f.doc_id) AS doc_id, CASE WHEN f.h IS NULL THEN 'missing' WHEN e.h IS NULL THEN 'extra' ELSE 'changed' END AS problem
+  FROM e FULL JOIN f ON e.doc_id = f.doc_id WHERE e.h IS DISTINCT FROM f.h""")
+def manifest_check(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    wanted = docs.filter("doc_id % 7 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, "x").otherwise(F.col("text")), 256).alias("digest"))
+    return textdiff.manifest_problems(wanted, docs.filter("doc_id % 11 <> 0").withColumn("content", F.col("text").cast("binary")), "doc_id", "content", "digest")
+
+
+@query("SELECT p_brand, bool_and(p_size <> 7) AS complete FROM part GROUP BY 1")
+def complete_series(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").withColumn("v", F.when(F.col("p_size") == 7, "none").otherwise(F.col("p_size").cast("string")))
+    return records.complete_groups(rows, ["p_brand"], "v")
+
+
+@query("""SELECT s_suppkey, s_name, min(event_id) FILTER (event_type = 'click') AS opens, min(event_id) FILTER (event_type = 'purchase') AS closes
+  FROM supplier JOIN events ON user_id = s_suppkey GROUP BY 1, 2 HAVING min(event_id) FILTER (event_type = 'click') IS NOT NULL""")
+def comment_anchors(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "click", "open").when(F.col("event_type") == "purchase", "close")
+    anchors = table(spark, d, "events").select(F.col("user_id").alias("s_suppkey"), kind.alias("kind"), "event_id")
+    return records.anchored_comments(anchors, table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey", "kind", "event_id")
+
+
+@query("SELECT event_id, CAST(event_id // 7 AS BIGINT) AS y, CAST(event_id % 7 AS BIGINT) AS x FROM events")
+def grid_flow(spark: SparkSession, d: str) -> DataFrame:
+    return records.grid_places(table(spark, d, "events"), [], "event_id", 7).select("event_id", "y", "x")
+
+
+@query("""WITH r AS (SELECT doc_id, text, substr(text, 1, 40) AS source FROM documents WHERE length(text) >= 60)
+  SELECT doc_id, md5('new ' || text) AS contents FROM r WHERE doc_id % 3 = 0 AND (length(text) - length(replace(text, source, ''))) // 40 = 1""")
+def merge_applied(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").filter(F.length("text") >= 60).withColumn("source", F.substring("text", 1, 40))
+    files = docs.select(F.col("doc_id").alias("file"), F.col("text").alias("contents"))
+    regions = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("file"), "source", F.col("source").alias("baseline"), F.lit(None).cast("string").alias("format"))
+    word = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("new "), "source")).otherwise(F.col("source"))
+    edits = docs.select(F.col("doc_id").alias("id"), word.alias("word"), F.lit(None).cast("string").alias("format"), F.lit(False).alias("moved"))
+    return merge.apply(merge.plan(regions, edits, files), files).select(F.col("file").alias("doc_id"), F.md5(F.col("contents").cast("binary")).alias("contents"))
+
+
+# --- sources and sinks -----------------------------------------------------------------------
+
+def _round_trip(kind: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        coded = readers.encoded(F.struct("p_partkey", "p_name", "p_size"), kind)
+        tree = table(spark, d, "part").select(readers.decoded(coded, kind).alias("v"))
+        return tree.select(*[F.variant_get("v", f"$.{c}", t).alias(c) for c, t in (("p_partkey", "bigint"), ("p_name", "string"), ("p_size", "int"))])
+
+    run.__name__ = f"src_{kind}"
+    query("SELECT p_partkey, p_name, p_size FROM part")(run)
+
+
+for _kind in ("json", "yaml", "toml", "cbor"):
+    _round_trip(_kind)
+
+
+@query("SELECT p_partkey, 'part' AS tag, CAST(p_size AS VARCHAR) AS size, p_name AS body FROM part")
+def src_xml(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit('<part size="'), F.col("p_size").cast("string"), F.lit('">'), F.col("p_name"), F.lit("</part>"))
+    tree = table(spark, d, "part").select("p_partkey", readers.decoded(text, "xml").alias("v"))
+    return tree.select("p_partkey", *[F.variant_get("v", p, "string").alias(c) for c, p in (("tag", "$[0].tag"), ("size", "$[0].attrs.size"), ("body", "$[0].children[0]"))])
+
+
+def _written(spark: SparkSession, write: Callable[[str], None]) -> str:
+    path = f"{shared_folder(spark)}/sources-{uuid.uuid4().hex}"
+    write(path)
+    return path
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, CAST(p_size AS VARCHAR) AS p_size FROM part")
+def src_csv(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    return readers.csv(spark, _written(spark, lambda path: rows.write.option("header", True).csv(path)), header=True)
+
+
+@query("SELECT n_name AS name, n_name || ' of ' || n_regionkey AS value FROM nation")
+def src_bundle(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.concat("n_name", F.lit(" of "), "n_regionkey").alias("value"))
+    path = _written(spark, lambda path: sinks.write_bundle(rows, path))
+    text = F.rtrim(F.replace("value", F.lit("\n"), F.lit("")))
+    return readers.read(spark, f"{path}/*/*.txt").select(F.regexp_extract(text, "^(.*) of ", 1).alias("name"), text.alias("value"))
+
+
+@query("SELECT 'n' || n_nationkey AS key, 'book' AS kind, n_name AS title, CAST(n_regionkey + 1990 AS VARCHAR) AS year FROM nation")
+def src_bibliography(spark: SparkSession, d: str) -> DataFrame:
+    entry_ = F.concat(F.lit("@book{n"), "n_nationkey", F.lit(", title = {"), "n_name", F.lit("}, year = "), F.col("n_regionkey") + 1990, F.lit("}"))
+    path = _written(spark, lambda path: sinks.write_text(table(spark, d, "nation").select(entry_.alias("value")), path))
+    found = readers.bibliography(spark, f"{path}/*.txt")
+    return found.select("key", "kind", F.element_at("fields", "title").alias("title"), F.element_at("fields", "year").alias("year"))
+
+
+@query("""SELECT r_name AS severity, count(*) AS n, '[' || string_agg('{"what":"' || n_name || '","detail":"' || n_nationkey || '"}', ',' ORDER BY n_name) || ']' AS details
+  FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
+def sink_losses(spark: SparkSession, d: str) -> DataFrame:
+    both = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return sinks.loss_report(both.select(F.col("r_name").alias("severity"), F.col("n_name").alias("what"), F.col("n_nationkey").cast("string").alias("detail")))
+
+
+@query("SELECT 'out.pdf: ' || string_agg(replace(n_name, ' ', '\\ '), ' ' ORDER BY n_name) AS value FROM nation")
+def sink_make_rule(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.make_rule(table(spark, d, "nation"), "out.pdf", "n_name")
+
+
+@query("SELECT lang, source, count(*) AS occurrences FROM documents GROUP BY 1, 2")
+def sink_facts(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.fidelity(table(spark, d, "documents"), ["lang", "source"])
+
+
+@query("""SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS value FROM region""")
+def sink_json(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.serialised(table(spark, d, "region").select("r_regionkey", "r_name"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The headings after each customer's first big order, as JSON."""
     d = "/root/testdata/sf0.001"
