@@ -71,3 +71,17 @@ def plus(a: Column, b: Column) -> Column:
 def divide(a: Column, b: Column) -> Column:
     """Division of numbers: always a float, an error for a zero divisor."""
     return guarded(a.cast("double") / b, b == 0, "cannot divide by zero")
+
+
+def minus(a: Column, b: Column) -> Column:
+    """Difference; overflow is an error under ANSI, and so is none."""
+    return guarded(a - b, a.isNull() | b.isNull(), "cannot subtract none")
+
+
+def times(a: Column, b: Column) -> Column:
+    """Product; overflow is an error under ANSI, and so is none."""
+    return guarded(a * b, a.isNull() | b.isNull(), "cannot multiply none")
+
+
+def negative(a: Column) -> Column:
+    return guarded(-a, a.isNull(), "cannot negate none")

@@ -152,6 +152,11 @@ def flatten(a: Column, depth: int = 1) -> Column:
     return a
 
 
+def spread(*parts: Column) -> Column:
+    """One array of all parts' elements; a part that is none adds nothing."""
+    return F.concat(*[F.coalesce(p, F.array()) for p in parts])
+
+
 def rev(a: Column) -> Column:
     return F.reverse(a)
 

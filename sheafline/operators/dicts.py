@@ -13,6 +13,11 @@ from .arrays import MISSING, _found
 Mapper = Callable[[Column], Column]
 
 
+def construct(**entries: Column) -> Column:
+    """A dictionary of named values of one type, in the order they are given."""
+    return F.map_from_arrays(F.array(*[F.lit(k) for k in entries]), F.array(*entries.values()))
+
+
 def length(m: Column) -> Column:
     return F.size(m).cast("bigint")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def resolve(refs: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     """refs with their one target; a key with two targets is an error, one without any drops out (see dangling)."""
     one = targets.groupBy(key).agg(F.first(F.struct(*[c for c in targets.columns if c != key])).alias("__t"), F.count("*").alias("__n"))
-    checked = one.select(key, F.when(F.col("__n") == 1, F.col("__t")).otherwise(F.raise_error("label occurs multiple times in the document")).alias("__t"))
+    checked = one.select(key, F.when(F.col("__n") == 1, F.col("__t")).otherwise(F.raise_error("a reference has more than one target")).alias("__t"))
     return refs.join(checked, key).select(*refs.columns, "__t.*")
 
 

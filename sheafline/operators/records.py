@@ -104,3 +104,24 @@ def outline_parents(headings: DataFrame, group: list[str], levels: int, ord: str
     marked = headings.withColumns({f"__p{k}": c for k, c in last.items()})
     parent = F.coalesce(*[F.when(F.col(level) == k + 1, F.col(f"__p{k}")) for k in last])
     return marked.withColumn("parent", parent).drop(*[f"__p{k}" for k in last])
+
+
+def emphasis(bold: Column, italic: Column, others: list[Column]) -> Column:
+    """{bold, italic} of a style that sets nothing else (null or false), so that plain markup can say all of it; else none."""
+    alone = F.lit(True)
+    for c in others:
+        alone = alone & (c.isNull() | (c.cast("string") == "false"))
+    b, i = F.coalesce(bold, F.lit(False)), F.coalesce(italic, F.lit(False))
+    return F.when(alone & (b | i), F.struct(b.alias("bold"), i.alias("italic")))
+
+
+def bound_bookmarks(refs: DataFrame, ids: DataFrame, places: DataFrame, name: str, ord: str) -> DataFrame:
+    """(name, ord) of the bookmarks to put in: names that are referred to and have no bookmark, at the first place that bears them."""
+    lost = refs.select(name).distinct().join(ids.select(name).distinct(), name, "left_anti")
+    return places.groupBy(name).agg(F.min(ord).alias(ord)).join(lost, name, "left_semi")
+
+
+def lost_targets(relations: DataFrame, parts: DataFrame, target: str, mode: str) -> DataFrame:
+    """Relations within a package whose part it lacks; those marked External lead elsewhere."""
+    inner = relations.filter(~F.col(mode).eqNullSafe(F.lit("External")))
+    return inner.join(parts.select(target).distinct(), target, "left_anti")

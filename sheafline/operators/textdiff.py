@@ -201,3 +201,34 @@ def manifest_problems(expected: DataFrame, found: DataFrame, name: str, content:
     both = expected.select(name, digest).join(have, name, "full")
     problem = F.when(F.col("__have").isNull(), "missing").when(F.col(digest).isNull(), "extra").when(F.col("__have") != F.col(digest), "changed")
     return both.withColumn("problem", problem).filter("problem is not null").select(name, "problem")
+
+
+def lost_links(links: DataFrame, parts: DataFrame, id: list[str], url: str, content: str) -> DataFrame:
+    """(id, url) of the http(s) links that stand in no part of the output with their id; entities in parts are read as what they stand for."""
+    plain = F.col(content)
+    # the ampersand last, so that nothing is read twice
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(entity), F.lit(sign))
+    wanted = links.filter(F.col(url).rlike("^https?:")).select(*id, url).distinct()
+    texts = parts.select(*id, plain.alias("__content"))
+    found = F.coalesce(F.contains("__content", url), F.lit(False))
+    return wanted.join(texts, id, "left").groupBy(*id, url).agg(F.bool_or(found).alias("__found")).filter(~F.col("__found")).drop("__found")
+
+
+def tile_agreement(pixels: DataFrame, id: list[str], width: int, height: int, columns: int = 4, rows: int = 6) -> DataFrame:
+    """(id, agreement, worst) of pixels(id, x, y, a, b) from 0 to 255: 1 for equal pictures, over all and in the tile that agrees least.
+
+    A mean over a picture hides a defect in one place; a grid of tiles shows it.
+    """
+    tile = [F.floor(F.col("y") * rows / height).alias("__r"), F.floor(F.col("x") * columns / width).alias("__c")]
+    apart = F.sum(F.abs(F.col("a") - F.col("b"))).alias("__apart")
+    tiles = pixels.groupBy(*id, *tile).agg(apart, F.count("*").alias("__n"))
+    near = lambda total, n: 1 - total / (255.0 * n)
+    return tiles.groupBy(*id).agg(near(F.sum("__apart"), F.sum("__n")).alias("agreement"), F.min(near(F.col("__apart"), F.col("__n"))).alias("worst"))
+
+
+def logged_totals(lines: DataFrame, text: str, mark: str, keys: list[str], amount: str) -> DataFrame:
+    """(keys, n, amount) of log lines such as "RASTERIZE kind=image reason=clip text_chars=12"; other lines don't count."""
+    value = lambda k: F.regexp_extract(text, rf"\b{k}=(\S+)", 1)
+    marked = lines.filter(F.col(text).contains(f"{mark} ")).select(*[value(k).alias(k) for k in keys], value(amount).cast("bigint").alias(amount))
+    return marked.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(amount).alias(amount))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import binary, calc, datetimes, numbering, numbers, strings
-from ..functions.guards import all_of, any_of, assert_eq, assert_ne, assert_that, divide, panic, plus, same
+from ..functions.guards import all_of, any_of, assert_eq, assert_ne, assert_that, divide, minus, negative, panic, plus, same, times
 from ..operators import arrays, dicts, elements, folds, frames, lookups, merge, order, records, rewrite, selectors, textdiff
 from ..operators.selectors import Label, Location, elem
 from ..operators.tables import shared_folder
@@ -1195,6 +1195,67 @@ def sink_json(spark: SparkSession, d: str) -> DataFrame:
     return sinks.serialised(table(spark, d, "region").select("r_regionkey", "r_name"))
 
 
+# --- more of documents and packages ----------------------------------------------------------
+
+@query("SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https?:') AND page_id % 3 = 0")
+def links_lost(spark: SparkSession, d: str) -> DataFrame:
+    """Every third page's link is missing in the output, the others stand there as entities."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    parts = pages.select("page_id", F.when(F.col("page_id") % 3 != 0, F.concat(F.lit('Target="'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('"'))).otherwise("none").alias("part"))
+    return textdiff.lost_links(pages, parts, ["page_id"], "url", "part")
+
+
+@query("""WITH p AS (SELECT user_id, event_id % 8 AS x, event_id // 8 % 12 AS y, abs(event_id * 7 % 256 - event_id * 13 % 256) AS apart FROM events),
+  t AS (SELECT user_id, sum(apart) AS s, count(*) AS n FROM p GROUP BY user_id, x // 2, y // 2)
+  SELECT user_id, round(1 - sum(s) / (255.0 * sum(n)), 9) AS agreement, round(min(1 - s / (255.0 * n)), 9) AS worst FROM t GROUP BY 1""")
+def picture_agreement(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    pixels = table(spark, d, "events").select("user_id", (k % 8).alias("x"), (F.floor(k / 8) % 12).alias("y"), (k * 7 % 256).alias("a"), (k * 13 % 256).alias("b"))
+    scored = textdiff.tile_agreement(pixels, ["user_id"], 8, 12)
+    return scored.select("user_id", F.round("agreement", 9).alias("agreement"), F.round("worst", 9).alias("worst"))
+
+
+@query("""SELECT event_type AS kind, 'r' || event_id % 3 AS reason, count(*) AS n, CAST(sum(event_id % 100) AS BIGINT) AS text_chars FROM events WHERE event_id % 5 <> 0 GROUP BY 1, 2""")
+def raster_totals(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    said = F.concat(F.lit("RASTERIZE kind="), "event_type", F.lit(" reason=r"), k % 3, F.lit(" text_chars="), k % 100)
+    lines = table(spark, d, "events").select(F.when(k % 5 == 0, "done kind=x").otherwise(said).alias("line"))
+    return textdiff.logged_totals(lines, "line", "RASTERIZE", ["kind", "reason"], "text_chars")
+
+
+@query("""SELECT p_partkey, CASE WHEN alone THEN bold END AS bold, CASE WHEN alone THEN italic END AS italic FROM (SELECT p_partkey, p_size % 2 = 0 AS bold, p_size % 3 = 0 AS italic,
+  p_size <= 25 AND p_partkey % 7 <> 0 AND (p_size % 2 = 0 OR p_size % 3 = 0) AS alone FROM part)""")
+def emphasis_only(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_size")
+    found = records.emphasis(n % 2 == 0, n % 3 == 0, [F.when(n > 25, F.col("p_brand")), F.col("p_partkey") % 7 == 0])
+    return table(spark, d, "part").select("p_partkey", found["bold"].alias("bold"), found["italic"].alias("italic"))
+
+
+@query("""SELECT 'b' || o_custkey AS name, min(o_orderkey) AS ord FROM orders WHERE o_custkey IN (SELECT p_size FROM part) AND o_custkey NOT IN (SELECT s_suppkey * 2 FROM supplier) GROUP BY 1""")
+def bookmarks_bound(spark: SparkSession, d: str) -> DataFrame:
+    named = lambda t, c: table(spark, d, t).select(F.concat(F.lit("b"), c.cast("string")).alias("name"))
+    places = table(spark, d, "orders").select(F.concat(F.lit("b"), F.col("o_custkey").cast("string")).alias("name"), F.col("o_orderkey").alias("ord"))
+    return records.bound_bookmarks(named("part", F.col("p_size")), named("supplier", F.col("s_suppkey") * 2), places, "name", "ord")
+
+
+@query("""SELECT o_orderkey, o_custkey AS target FROM orders WHERE o_orderstatus <> 'P' AND o_custkey NOT IN (SELECT s_suppkey FROM supplier)""")
+def targets_lost(spark: SparkSession, d: str) -> DataFrame:
+    mode = F.when(F.col("o_orderstatus") == "P", "External")
+    relations = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("target"), mode.alias("mode"))
+    return records.lost_targets(relations, table(spark, d, "supplier").select(F.col("s_suppkey").alias("target")), "target", "mode").select("o_orderkey", "target")
+
+
+@query(f"""WITH o AS ({_QUANTITIES}) SELECT l_orderkey, array_to_string(list_concat(list_concat([0], CASE WHEN len(q) > 2 THEN q ELSE [] END), q), ',') AS spread,
+  'first=' || q[1] || ',last=' || q[-1] AS made, q[1] - q[-1] AS apart, q[1] * q[-1] AS product, -q[1] AS under FROM o""")
+def spread_and_build(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("q")
+    first, last = arrays.first(q), arrays.last(q)
+    return _orders(spark, d).select(
+        "l_orderkey", _text(arrays.spread(F.array(F.lit(0).cast("bigint")), F.when(F.size(q) > 2, q), q)).alias("spread"), _entries(dicts.construct(first=first, last=last)).alias("made"),
+        minus(first, last).alias("apart"), times(first, last).alias("product"), negative(first).alias("under"),
+    )
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The headings after each customer's first big order, as JSON."""
     d = "/root/testdata/sf0.001"

@@ -32,7 +32,7 @@ def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: i
         if after == seen:
             return now, True
         seen = after
-    warnings.warn(f"layout did not converge within {rounds} attempts", stacklevel=2)
+    warnings.warn(f"no fixed point after {rounds} rounds", stacklevel=2)
     return now, False
 
 
@@ -42,6 +42,6 @@ def while_(start: DataFrame, condition: Callable[[DataFrame], bool], body: Calla
     while condition(now):
         n += 1
         if n > most:
-            raise RuntimeError("loop seems to be infinite")
+            raise RuntimeError(f"the condition still holds after {most} rounds")
         now = settled(body(now))
     return now

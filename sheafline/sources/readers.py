@@ -47,7 +47,7 @@ def csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = Fal
     Without a header columns are _c0, _c1, ...
     """
     if len(delimiter) != 1 or not delimiter.isascii():
-        raise ValueError("delimiter must be an ASCII character")
+        raise ValueError("fields are separated by one ASCII character")
     reader = spark.read.option("sep", delimiter).option("header", header).option("inferSchema", False).option("quote", '"').option("escape", '"').option("multiLine", True)
     found = reader.csv(path)
     schema = ", ".join(f"`{c}` string" for c in found.columns)
@@ -80,7 +80,7 @@ def _plain(v: object, big: str) -> object:
 
 def _json(b: bytes) -> object:
     if b.startswith(b"\xef\xbb\xbf"):
-        raise ValueError("unexpected Byte Order Mark")
+        raise ValueError("a byte order mark stands before the JSON")
     return json.loads(b)
 
 
