@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import TwoGenerations, pieces
-from .common import exists, new_path, small_batches
+from .common import exists, new_path, small_batches, stored
 
 #: How counts are taken; part of the tokenizer's digest, to be raised with any change of meaning.
 RULES = "plain counts, no added specials, no truncation, no padding; 1"
@@ -108,7 +108,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, text: st
     """docs with `n_tokens` (long) for every whole text.
 
     The cache is a Parquet folder (version, digest, n_tokens), partitioned by
-    version, made if absent; a later call reads the counts of an earlier one.
+    version, made if absent; a later call reads the counts of an earlier one,
+    and digests that stand in it more than once count once.
     Nulls count as the empty text, 0 tokens.  Repeated texts are encoded once,
     wherever they are; empty tables and other columns pass through.  Columns of
     docs named n_tokens are replaced.
@@ -128,12 +129,15 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, text: st
     cached = f"{cache_path}/version={version}"
 
     contents = keyed.select(F.col("__digest").alias("digest"), _normalised(F.col(text)).alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
-    if exists(spark, cached):
+    again = exists(spark, cached)
+    if again:
         contents = contents.join(spark.read.schema("digest string, n_tokens long").parquet(cached), "digest", "left_anti")
     sent = spark.sparkContext.broadcast(content)  # a vocabulary file: its size doesn't depend on the data
     contents.mapInArrow(_encode(sent, kind, version), "digest string, n_tokens long").write.mode("append").parquet(cached)
 
     counts = spark.read.schema("digest string, n_tokens long").parquet(cached).withColumnRenamed("digest", "__digest")
+    if again:  # two runs at once may both have appended a digest
+        counts = stored(counts.dropDuplicates(["__digest"]), "token-counts")
     return keyed.join(counts, "__digest").drop("__digest")
 
 
