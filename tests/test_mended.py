@@ -54,3 +54,19 @@ def test_within_is_containment(spark):
     want = sorted((d, o, json.dumps(f)) for d, o, _, e, _, _, f in rows if e == "a" and any(x[0] == d and x[1] < o < x[2] for x in rows))
     assert got == want
     assert selectors.query(table, selectors.elem("a").within(selectors.elem("b"))).columns == table.columns
+
+
+def test_unique_look_ups(spark):
+    rows = spark.createDataFrame(
+        [(1, 0, 2, "heading", 1, "a", {}), (1, 1, 2, "item", 2, "b", {}), (2, 0, 1, "item", 1, "b", {})],
+        "doc_id long, ord long, end_ord long, elem string, level int, label string, fields map<string,string>",
+    )
+    assert selectors.query_unique(rows, selectors.elem("item")).count() == 2
+    assert selectors.query_label(rows, "a").first().ord == 0
+    bad = [
+        selectors.query_unique(rows, selectors.elem("heading")), selectors.query_unique(rows, selectors.elem()), selectors.query_label(rows, "b"), selectors.query_label(rows, "c"),
+        selectors.query_unique(rows, selectors.elem("item").within(selectors.elem("heading"))),
+    ]
+    for b in bad:
+        with pytest.raises(Exception):  # noqa: B017
+            b.collect()
