@@ -4,19 +4,22 @@ The distinct pre-tokens of a block of the corpus are laid out as one sequence
 of symbols.  An inverted index leads from each mergeable pair to the positions
 where it stands.  Ranks are then replayed in order: all positions of the lowest
 rank merge, and only the pairs with the touched neighbours are indexed anew.
-Texts are put together from the pieces they consist of.
+Texts are put together from the tokens of their pre-tokens.
 
-A block is what a task holds at a time; a worker keeps the symbols of pieces
-that it has met of late, so a later block replays only its new ones.  Blocks
-change nothing in the results, as no merge crosses a pre-token.  One replay
-over the pre-tokens of all documents would need every occurrence shuffled.
+A block is an Arrow batch; a worker numbers the pre-tokens that it meets and
+keeps the tokens of those it meets often, so a later block replays only its new
+ones.  Blocks change nothing in the results, as no merge crosses a pre-token.
+One replay over the pre-tokens of all documents would need every occurrence
+shuffled.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import compress, islice
 from typing import Any
 
 import numpy as np
@@ -26,12 +29,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import TwoGenerations, pieces
 from .common import small_batches
 
-#: Entries of the memo of pieces in each Python worker.
+#: Words that each Python worker keeps when it has met twice as many.
 MEMO = 100_000
-#: Characters whose pieces are replayed together.
+#: Characters of new words that are replayed together.
 BLOCK_CHARS = 2_000_000
 #: Rows of an Arrow batch that are taken out of it together.
 SLICE = 512
@@ -63,7 +65,12 @@ class Codec:
         self.keys = np.append(keys[by], np.iinfo(np.int64).max)
         self.of_key = np.append(np.fromiter(pair.values(), np.int64, len(pair))[by], -1)
         self.split = regex.compile(pattern).findall
-        self.memo = TwoGenerations(MEMO)
+        #: Words that have been met, in the order of their numbers, and how often; a new one gets the next number.
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.met = np.zeros(0, np.int64)
+        #: Their tokens one after another; those of word k stand from ends[k] to ends[k + 1].
+        self.tokens, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of symbols; -1 where they don't merge or a word ends."""
@@ -160,31 +167,50 @@ class Codec:
             s[i : i + 2] = [r]
         return s
 
-    def pieces_encoded(self, new: list[str]) -> list[bytes]:
-        """int32 bytes of the tokens of each piece."""
-        parts = list(map(self.split, new))
-        words = list(dict.fromkeys(w for x in parts for w in x))
-        ids, last = self.replay([w.encode("utf-8") for w in words])
-        data, at = ids.tobytes(), (4 * last).tolist()
-        of = {w: data[a:b] for w, a, b in zip(words, [0, *at], at, strict=False)}
-        return [of[x[0]] if len(x) == 1 else b"".join([of[w] for w in x]) for x in parts]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """int32 bytes of the tokens of each text."""
-        out: list[bytes] = []
-        block: list[list[str]] = []
-        n = 0
-        for k, text in enumerate(texts):
-            block.append(pieces(text or ""))
-            n += len(text or "")
-            if n >= BLOCK_CHARS or k == len(texts) - 1:
-                new = self.memo.missing([p for x in block for p in x])
-                self.memo.put(new, self.pieces_encoded(new))
-                get = self.memo.new.__getitem__
-                out += [b"".join(map(get, x)) for x in block]
-                self.memo.turn()
-                block, n = [], 0
-        return out
+    def _known(self, k: int) -> None:
+        """Replays the words that are numbered k and above, so many characters at a time, and keeps their tokens."""
+        words = list(islice(self.number, k, None))
+        first, chars, parts = 0, 0, [(self.tokens, self.ends)]
+        for i, w in enumerate(words):
+            chars += len(w)
+            if chars >= BLOCK_CHARS or i == len(words) - 1:
+                ids, ends = self.replay([w.encode("utf-8") for w in words[first : i + 1]])
+                parts.append((ids, ends + parts[-1][1][-1]))
+                first, chars = i + 1, 0
+        if len(parts) > 1:
+            self.tokens, self.ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _forget(self) -> None:
+        """Keeps the words that were met most often, MEMO at most, when twice as many are known."""
+        if len(self.number) <= 2 * MEMO:
+            return
+        most = np.sort(np.argsort(-self.met, kind="stable")[: min(MEMO, int((self.met > 1).sum()))])
+        chosen = np.zeros(len(self.number), bool)
+        chosen[most] = True
+        words = list(compress(self.number, chosen.tolist()))
+        self.number.clear()
+        self.number.update(zip(words, range(len(words)), strict=True))
+        self.tokens, ends = taken(self.tokens, self.ends[:-1][most], np.diff(self.ends)[most])
+        self.ends = np.concatenate(([0], ends))
+        self.met = self.met[most] >> 1
+
+    def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens (int32) of all texts, one after another, and where each text's end."""
+        k, split, number = len(self.number), self.split, self.number.__getitem__
+        rows = [np.array(list(map(number, split(t))) if t else [], np.int32) for t in texts]
+        self._known(k)
+        word = np.concatenate([np.zeros(0, np.int32), *rows])
+        self.met = np.append(self.met, np.zeros(len(self.number) - k, np.int64)) + np.bincount(word, minlength=len(self.number))
+        ids, ends = taken(self.tokens, self.ends[word], self.ends[word + 1] - self.ends[word])
+        self._forget()
+        return ids, np.concatenate(([0], ends))[np.cumsum([len(r) for r in rows], dtype=np.int64)]
+
+
+def taken(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of values that begin at start, one after another, and where each ends."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(start - (ends - size), size) + np.arange(total)], ends
 
 
 def tokens_of(content: bytes) -> dict[int, bytes]:
@@ -204,10 +230,7 @@ class Bytes:
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of tokens one after another, and where each token's end."""
-        size = self.size[ids]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.all[np.repeat(self.start[ids] - (ends - size), size) + np.arange(total)], ends
+        return taken(self.all, self.start[ids], self.size[ids])
 
 
 _tables: dict[int, Bytes] = {}
@@ -229,11 +252,6 @@ def codec(content: Any, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def _lists(parts: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0] + [len(p) // 4 for p in parts], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """docs with `out`, array<int> of the tokens of every whole text, without special tokens.
 
@@ -248,7 +266,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coded = codec(content, pattern)
         for x in texts:
-            yield pa.concat_arrays([_lists(coded.encode(x.slice(k, SLICE).to_pylist())) for k in range(0, len(x), SLICE)] or [_lists([])])
+            found, ends = coded.encode(t for k in range(0, len(x), SLICE) for t in x.slice(k, SLICE).to_pylist())
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(found))
 
     return docs.withColumn(out, ids(F.col(text)))
 
