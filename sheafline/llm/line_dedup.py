@@ -56,9 +56,9 @@ def line_sets(docs: DataFrame, classes: Any, threshold: float, id: str, text: st
 def matched_classes(docs: DataFrame, classes: DataFrame, threshold: float, id: str, text: str) -> DataFrame:
     """(id, pos) of the first line of every class to which a similar class begins before it.
 
-    Lines are first compared with the earliest ones that have their rarest
-    words; this settles nearly all members of a large group in proportion to
-    their number.  Then all pairs are sought that share a prefix word and of
+    Lines are first compared with a few early and a few drawn ones for each of
+    their prefix words; this settles nearly all members of a large group in
+    proportion to their number.  Then all pairs are sought that share a prefix word and of
     which the later line isn't settled.
     """
     at = ["id", "pos"]

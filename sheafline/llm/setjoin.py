@@ -12,13 +12,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import join_checked, release, stored
 from .components import connected_components
 
-#: The rarest items of a set by which it meets another one that has them.
-RAREST = 3
-#: Of the sets with an item, so many early ones are met first.
+#: Of the sets with an item, so many are met first.
 LEADERS = 4
 #: Narrow rows that are broadcast at most.
 MOST_SENT = 1_000_000
@@ -85,12 +84,20 @@ def places(at: list[str]) -> list[str]:
 
 
 def first_met(posted: DataFrame, threshold: float, at: list[str]) -> DataFrame:
-    """Pairs (x after y) of a set and the earliest sets that have one of its rarest items, LEADERS * RAREST for each set at most."""
-    rarest = posted.filter(F.col("k") < RAREST)
-    # the earliest of each class of a hash; nothing but numbers is kept while rows are read
-    few = rarest.groupBy("t", F.pmod(F.xxhash64(*at), F.lit(LEADERS)).alias("class"))
-    earliest = few.agg(F.min(at[0]).alias(f"y_{at[0]}"), *[F.min_by(c, at[0]).alias(f"y_{c}") for c in (*at[1:], "p", "bits", "more")])
-    met = side(rarest, "x", at).join(earliest, "t")
+    """Pairs (x after y) of a set and a few others that have one of its items, LEADERS for each item at most.
+
+    For each item its sets are dealt into LEADERS classes.  Of half of them the
+    earliest set is met, of the others one that is drawn: members of a large
+    group differ, and each item gives them others to be similar to.
+    """
+    drawn = posted.withColumn("draw", F.xxhash64("t", *at))
+    kind = F.pmod("draw", F.lit(LEADERS))
+    by = F.col(at[0])
+    if posted.schema[at[0]].dataType == LongType():
+        by = F.when(kind < LEADERS // 2, by).otherwise(F.col("draw"))
+    # nothing but numbers is kept while rows are read
+    leaders = drawn.withColumn("by", by).groupBy("t", kind.alias("class")).agg(*[F.min_by(c, "by").alias(f"y_{c}") for c in (*at, "p", "bits", "more")])
+    met = side(posted, "x", at).join(leaders, "t")
     return met.filter(later(at) & room(threshold)).select(*places(at))
 
 
