@@ -57,15 +57,17 @@ def matched_classes(docs: DataFrame, classes: DataFrame, threshold: float, id: s
     """(id, pos) of the first line of every class to which a similar class begins before it.
 
     Lines are first compared with a few early and a few drawn ones for each of
-    their prefix words; this settles nearly all members of a large group in
+    their rarest words; this settles nearly all members of a large group in
     proportion to their number.  Then all pairs are sought that share a prefix word and of
     which the later line isn't settled.
     """
     at = ["id", "pos"]
-    settled = _verified(docs, first_met(postings(classes, threshold, at), threshold, at), threshold, id, text)
+    first = first_met(postings(classes, threshold, at), threshold, at)
+    settled = _verified(docs, first, threshold, id, text)
+    release(first)
     flagged = stored(join_checked(classes, settled, at, "left", MOST_SENT), "line-flagged")
     open_ = F.when(later(at), F.col("x_settled").isNull()).otherwise(F.col("y_settled").isNull())
-    pairs = all_met(postings(flagged, threshold, at, "settled"), threshold, at, "settled", open_)
+    pairs = all_met(postings(flagged, threshold, at, "settled", before=True), threshold, at, "settled", open_)
     release(flagged)
     rest = _verified(docs, pairs, threshold, id, text)
     out = stored(settled.unionByName(rest).select("id", "pos").distinct(), "line-matched")
@@ -101,11 +103,11 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id"
     """
     small_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(rarity(docs, text))  # of a fixed size
-    lines = stored(line_sets(docs, table, threshold, id, text), "line-sets")
-    table.destroy()
+    lines = line_sets(docs, table, threshold, id, text)
     first = F.min(F.struct("id", "pos", "n", "bits", "more", "prefix")).alias("first")
     classes = stored(lines.groupBy("h", "g").agg(first).select("first.*"), "line-classes")
-    release(lines)
+    table.destroy()
+    release()
     matched = matched_classes(docs, classes, threshold, id, text)
     out = stored(classes.select("id", "pos").join(matched, ["id", "pos"], "left_anti").distinct(), "line-kept")
     release(classes, matched)

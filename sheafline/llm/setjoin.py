@@ -9,6 +9,7 @@ What can't be shared comes first in that order and needn't be in the prefix.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +20,16 @@ from .components import connected_components
 
 #: Of the sets with an item, so many are met first.
 LEADERS = 4
+#: Of a set's prefix items, so many of the rarest ones lead to others that are met first.
+RAREST = 4
 #: Narrow rows that are broadcast at most.
 MOST_SENT = 1_000_000
 #: Postings of an item that needn't be paired with each other are set apart beyond so many.
 HOT = 256
 #: Items are joined in so many blocks, one after another, so that only a part of all postings is shuffled at a time.
 BLOCKS = 4
+#: The same, where sets meet a few others for their rarest items.
+BLOCKS_FIRST = 2
 
 
 def prefix_length(n: Column, threshold: float) -> Column:
@@ -44,12 +49,22 @@ def parity(items: str, bit: int) -> Column:
     return F.expr(f"aggregate({items}, 0L, (a, x) -> a ^ if((x & 64L) = {bit}L, shiftleft(1L, cast(x & 63L as int)), 0L))")
 
 
-def postings(sets: DataFrame, threshold: float, at: list[str], *others: str) -> DataFrame:
-    """(t, *at, p, bits, more, k, *others) for each item t of a prefix: p packs n and i, its place in the ordered set; k is its place in the prefix."""
+def postings(sets: DataFrame, threshold: float, at: list[str], *others: str, before: bool = False) -> DataFrame:
+    """(t, *at, p, bits, more, k, *others) for each item t of a prefix: p packs n and i, its place in the ordered set; k is its place in the prefix.
+
+    With `before` also b, the item that stands before t in the prefix; null is none.
+    """
     unshared = prefix_length(F.col("n"), threshold) - F.size("prefix")  # they stand first
-    flat = sets.select(*at, "n", "bits", "more", unshared.alias("u"), *others, F.posexplode("prefix").alias("k", "t"))
+    own = [*at, "n", "bits", "more", unshared.alias("u"), *others]
+    if before:
+        size = F.size("prefix")
+        ahead = F.concat(F.array(F.lit(None).cast("long")), F.slice("prefix", 1, F.greatest(size - 1, F.lit(0))))
+        both = F.when(size > 0, F.arrays_zip(F.col("prefix").alias("t"), ahead.alias("b")))
+        flat = sets.select(*own, F.posexplode(both).alias("k", "__i")).withColumns({"t": F.col("__i.t"), "b": F.col("__i.b")})
+    else:
+        flat = sets.select(*own, F.posexplode("prefix").alias("k", "t"))
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("u") + F.col("k")).cast("long"))
-    return flat.select("t", *at, packed.alias("p"), "bits", "more", "k", *others)
+    return flat.select("t", *at, packed.alias("p"), "bits", "more", "k", *others, *["b"] * before)
 
 
 def n_of(p: str) -> Column:
@@ -83,22 +98,33 @@ def places(at: list[str]) -> list[str]:
     return [f"{s}_{c}" for s in "xy" for c in at]
 
 
+def united(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def first_met(posted: DataFrame, threshold: float, at: list[str]) -> DataFrame:
-    """Pairs (x after y) of a set and a few others that have one of its items, LEADERS for each item at most.
+    """Pairs (x after y) of a set and a few others that have one of its RAREST items, LEADERS for each item at most.
 
     For each item its sets are dealt into LEADERS classes.  Of half of them the
     earliest set is met, of the others one that is drawn: members of a large
     group differ, and each item gives them others to be similar to.
     """
-    drawn = posted.withColumn("draw", F.xxhash64("t", *at))
+    asked = posted.filter(F.col("k") < RAREST).withColumn("draw", F.xxhash64("t", *at))
     kind = F.pmod("draw", F.lit(LEADERS))
     by = F.col(at[0])
     if posted.schema[at[0]].dataType == LongType():
         by = F.when(kind < LEADERS // 2, by).otherwise(F.col("draw"))
-    # nothing but numbers is kept while rows are read
-    leaders = drawn.withColumn("by", by).groupBy("t", kind.alias("class")).agg(*[F.min_by(c, "by").alias(f"y_{c}") for c in (*at, "p", "bits", "more")])
-    met = side(posted, "x", at).join(leaders, "t")
-    return met.filter(later(at) & room(threshold)).select(*places(at))
+    parts = []
+    for block in range(BLOCKS_FIRST):
+        here = asked.filter(F.pmod(F.col("t"), F.lit(BLOCKS_FIRST)) == block)
+        # nothing but numbers is kept while rows are read
+        leaders = here.withColumn("by", by).groupBy("t", kind.alias("class")).agg(*[F.min_by(c, "by").alias(f"y_{c}") for c in (*at, "p", "bits", "more")])
+        met = side(here, "x", at).join(leaders, "t")
+        parts.append(stored(met.filter(later(at) & room(threshold)).select(*places(at)).distinct(), "set-first"))
+        release()
+    whole = stored(united(parts).distinct(), "set-first")
+    release(*parts)
+    return whole
 
 
 def drawn_met(posted: DataFrame, threshold: float, open_: Column | None = None) -> DataFrame:
@@ -125,7 +151,8 @@ def all_met(posted: DataFrame, threshold: float, at: list[str], group: str, open
 
     posted has `group`: rows of one group needn't be paired with each other,
     null is no group.  Where an item has many rows of one group they are set
-    apart and only meet the item's other rows.
+    apart and only meet the item's other rows.  posted has `b` too: two sets
+    that share a run of items meet at its first one only.
     """
     sizes = posted.filter(F.col(group).isNotNull()).groupBy("t", group).agg(F.count("*").alias("c")).filter(F.col("c") > HOT)
     hot = stored(sizes.select("t", group, F.lit(True).alias("apart")), "set-hot")
@@ -137,24 +164,23 @@ def all_met(posted: DataFrame, threshold: float, at: list[str], group: str, open
     n = n_of("p")
     # a smaller or equal set of a pair shares a word within an even shorter prefix
     index = flagged.filter(i_of("p") < n - F.ceil(n * (2 * threshold / (1 + threshold)) - 1e-9) + 1)
-    keep = larger_first(at) & open_ & room(threshold)
+    # what stands before a shared item is in the prefix and the index too, and leaves more room
+    begins = F.coalesce(F.col("x_b") != F.col("y_b"), F.lit(True))
+    keep = larger_first(at) & open_ & room(threshold) & begins
     parts = []
     for block in range(BLOCKS):
         here = F.pmod(F.col("t"), F.lit(BLOCKS)) == block
-        large, small = side(flagged.filter(here), "x", at, group, "apart"), side(index.filter(here), "y", at, group, "apart")
+        large, small = side(flagged.filter(here), "x", at, group, "apart", "b"), side(index.filter(here), "y", at, group, "apart", "b")
         met = large.filter("not x_apart").join(small, "t").filter(keep)
         parts.append(stored(later_first(met, at).distinct(), "set-pairs"))
         release()
     if not hot.isEmpty():
-        large, small = side(flagged.filter("apart"), "x", at, group), side(index, "y", at, group, "apart")
+        large, small = side(flagged.filter("apart"), "x", at, group, "b"), side(index, "y", at, group, "apart", "b")
         others = join_checked(small.filter("not y_apart").drop("y_apart"), hot.select("t").distinct(), ["t"], "left_semi", MOST_SENT)
         parts.append(stored(later_first(large.join(others, "t").filter(keep), at).distinct(), "set-pairs"))
         alike = join_checked(small.filter("y_apart").drop("y_apart"), mixed_hot, ["t"], "left_semi", MOST_SENT)
         parts.append(stored(later_first(large.join(alike, "t").filter(keep), at).distinct(), "set-pairs"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    whole = stored(out.distinct(), "set-pairs")
+    whole = stored(united(parts).distinct(), "set-pairs")
     release(hot, *parts)
     return whole
 
@@ -184,7 +210,7 @@ def linked(sets: DataFrame, similar: Callable[[DataFrame], DataFrame], threshold
     also = similar(drawn_met(postings(rows, threshold, at, "part"), threshold, apart))
     release(parts)
     parts, rows = placed(ends(near.unionByName(also)))
-    pairs = all_met(postings(rows, threshold, at, "part"), threshold, at, "part", apart)
+    pairs = all_met(postings(rows, threshold, at, "part", before=True), threshold, at, "part", apart)
     more = similar(pairs)
     of = lambda s: parts.select(F.col("node").alias(f"{s}_id"), F.col("component").alias(f"{s}_part"))
     named = more.join(of("x"), "x_id", "left").join(of("y"), "y_id", "left")
